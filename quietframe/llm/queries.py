@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import held_out, read_table
 
 N_SHARDS = 8
 
@@ -21,6 +21,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    return langid.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model).drop("text")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(F.col("doc_id"), 4, 2))
+    model = quality.train(docs.join(labels, "doc_id"))
+    return quality.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model).drop("text")
+
+
 #: DuckDB has no crc32: the table is made from the reflected polynomial 0xEDB88320 (fixed value), the checksum folds over the bytes.
 _CRC_SQL = """
   rounds(i, k, c) AS (
