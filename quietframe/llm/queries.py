@@ -38,6 +38,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model).drop("text")
 
 
+def bpe_files() -> dict[str, str]:
+    """Where the public vocabulary files are; a parameter of the operators, never copied here."""
+    import public_tokenizers as P
+
+    return {"json_path": P.path("byte_bpe_50k.json"), "ranks_path": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    cut = packing.pieces(read_table(spark, sf_dir, "documents"), bpe_files())
+    out = packing.pack(cut)
+    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_edits
+
+    return compare_with_edits(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 #: DuckDB has no crc32: the table is made from the reflected polynomial 0xEDB88320 (fixed value), the checksum folds over the bytes.
 _CRC_SQL = """
   rounds(i, k, c) AS (
