@@ -29,6 +29,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model).drop("text")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosenpath import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2).withColumnRenamed("id", "doc_id")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ctw import score_texts
 
