@@ -29,6 +29,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model).drop("text")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False).drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosenpath import near_duplicates
 
