@@ -56,6 +56,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model).drop("text")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embdedup import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def bpe_files() -> dict[str, str]:
     """Where the public vocabulary files are; a parameter of the operators, never copied here."""
     import public_tokenizers as P
