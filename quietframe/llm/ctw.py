@@ -35,9 +35,9 @@ from .common import partitions, run_hashes, staged, text_slices
 DEPTH = 6
 TAIL = 2
 #: Bound of the model: transitions (context, byte) that keep their whole context; with more, the rarest are counted in
-#: their last ``SHORT`` bytes only.  A compiled model has about 80 bytes for each.
-MAX_TRANSITIONS = 1_000_000
-SHORT = 3
+#: their last ``SHORT`` bytes only.  A compiled model has about 120 bytes for each.
+MAX_TRANSITIONS = 600_000
+SHORT = 4
 BATCH_BYTES = 6 << 20
 END = 0x0A
 BLANK = 0x20
@@ -71,56 +71,68 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def compile_tree(transitions: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> ContextTree:
-    """Weights and predictions from counts of ``context << 8 | byte`` (contexts of ``depth`` bytes)."""
-    nodes: list[tuple[np.ndarray, ...]] = []
-    for d in range(depth + 1):
-        mask = np.uint64((1 << (8 * d)) - 1)
-        held, n = _sums((((transitions >> np.uint64(8)) & mask) << np.uint64(8)) | (transitions & np.uint64(255)), counts)
-        context, byte = held & ~np.uint64(255), held & np.uint64(255)
-        parts = []
-        for level in range(8):
-            decision = (np.uint64(1) << np.uint64(level)) | (byte >> np.uint64(8 - level))
-            one = ((byte >> np.uint64(7 - level)) & np.uint64(1)).astype(float)
-            parts.append(_sums(context | decision, n * (1 - one), n * one))
-        keys, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        nodes.append((keys[order], zeros[order], ones[order]))
-    logs: list[np.ndarray] = []
-    weights: list[np.ndarray] = []
+    """Weights and predictions from counts of ``context << 8 | byte`` (contexts of ``depth`` bytes).
+
+    Each binary decision has a context tree of its own, so the eight levels of
+    decisions are compiled one after the other, in an eighth of the memory.
+    """
+    order = np.argsort(transitions)
+    transitions, counts = transitions[order], counts[order]
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(depth + 1)]
+    for level in range(8):
+        for d, part in enumerate(_compile_level(transitions, counts, depth, level)):
+            parts[d].append(part)
+    keys, ones = [], []
+    for held in parts:
+        k, p = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        held.clear()
+        order = np.argsort(k)
+        keys.append(k[order])
+        ones.append(p[order])
+    tree = ContextTree(keys, ones, np.zeros(0, np.uint64), np.zeros(0))
+    return ContextTree(keys, ones, transitions, _byte_logs(tree, transitions).astype(np.float32))
+
+
+def _compile_level(transitions: np.ndarray, counts: np.ndarray, depth: int, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By depth: the nodes of this level's decisions, and each one's mixed chance of a one bit."""
+    byte = transitions & np.uint64(255)
+    decision = (np.uint64(1) << np.uint64(level)) | (byte >> np.uint64(8 - level))
+    one = ((byte >> np.uint64(7 - level)) & np.uint64(1)).astype(float)
+    held, zeros, ones = _sums((transitions & ~np.uint64(255)) | decision, counts * (1 - one), counts * one)
+    nodes = [(held, zeros, ones)]
+    for d in range(depth - 1, -1, -1):  # shorter contexts from the sums of the next longer ones
+        held, zeros, ones = nodes[0]
+        nodes.insert(0, _sums(_shorter(held, d), zeros, ones))
+    weights: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
+    below = np.zeros(0)
     for d in range(depth, -1, -1):
         keys, zeros, ones = nodes[d]
         own = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
         if d == depth:
-            mixed, weight = own, np.ones(len(own))
+            mixed, weights[d] = own, np.ones(len(own))
         else:
-            below = np.bincount(_parents(nodes[d + 1][0], keys, d), weights=logs[-1], minlength=len(keys))
-            mixed = np.logaddexp(own, below) - np.log(2)
-            weight = np.exp(own - np.log(2) - mixed)
-        logs.append(mixed)
-        weights.append(weight)
-    weights.reverse()
-    tree_keys, tree_ones = [], []
-    done = rest = None
+            under = np.bincount(np.searchsorted(keys, _shorter(nodes[d + 1][0], d)), weights=below, minlength=len(keys))
+            mixed = np.logaddexp(own, under) - np.log(2)
+            weights[d] = np.exp(own - np.log(2) - mixed)
+        below = mixed
+    out = []
+    done = rest = np.zeros(0)
     for d in range(depth + 1):
         keys, zeros, ones = nodes[d]
         estimate = (ones + 0.5) / (zeros + ones + 1)
         if d == 0:
             done, rest = weights[0] * estimate, 1 - weights[0]
         else:
-            up = _parents(keys, nodes[d - 1][0], d - 1)
+            up = np.searchsorted(nodes[d - 1][0], _shorter(keys, d - 1))
             done, rest = done[up] + rest[up] * weights[d] * estimate, rest[up] * (1 - weights[d])
-        tree_keys.append(keys)
-        # Below the last context that was seen nothing is known: an even chance.
-        tree_ones.append((done + rest / 2 if d < depth else done).astype(np.float32))
-    tree = ContextTree(tree_keys, tree_ones, np.zeros(0, np.uint64), np.zeros(0))
-    known = np.sort(transitions)
-    return ContextTree(tree_keys, tree_ones, known, _byte_logs(tree, known).astype(np.float32))
-
-
-def _parents(keys: np.ndarray, above: np.ndarray, d: int) -> np.ndarray:
-    """Place among ``above`` (contexts of d bytes) of each node of one byte more."""
-    mask = np.uint64((1 << (8 * d)) - 1)
-    return np.searchsorted(above, (((keys >> np.uint64(8)) & mask) << np.uint64(8)) | (keys & np.uint64(255)))
+        # Below the last context that was seen nothing is known: that context's own estimate stands for the rest.
+        out.append((keys, (done + rest * estimate).astype(np.float32)))
+    return out
+
+
+def _shorter(keys: np.ndarray, d: int) -> np.ndarray:
+    """The node with the last ``d`` bytes of each node's context."""
+    return keys & np.uint64((1 << (8 * d + 8)) - 1)
 
 
 def _byte_logs(tree: ContextTree, transitions: np.ndarray) -> np.ndarray:

@@ -28,6 +28,8 @@ NGRAMS = (2, 3, 4)
 #: Buckets that a repeated neighbour adds to: a word has some twenty n-grams against which one alone would be lost.
 REPEAT_WEIGHT = 6
 DIMENSIONS = 16
+#: Steps of gradient descent at least, and passes over the training rows at least.
+LEAST_STEPS = 1500
 EPOCHS = 12
 BATCH = 64
 RATE = 0.5
@@ -121,9 +123,11 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Quality
     bias = np.array([0, prior], np.float32)
     # Both labels weigh the same, so that the few documents of the rarer one are learned, too.
     weight = len(label) / (2 * np.bincount(label, minlength=2))
-    steps = EPOCHS * (len(usable) // BATCH + 1)
+    per_epoch = -(-len(usable) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    steps = epochs * per_epoch
     done = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         rng.shuffle(usable)
         for at in range(0, len(usable), BATCH):
             chosen = usable[at : at + BATCH]

@@ -77,6 +77,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from .pieces import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model")).drop("ids").withColumnRenamed("id", "doc_id")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import compare_with_edits
 
