@@ -22,15 +22,15 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .common import mix64, run_hashes, text_slices, word_bounds
 
 #: Bound of the labelled documents that are learned from; beyond it documents are drawn by a hash of their id.
-MAX_TRAINING_ROWS = 8_000
+MAX_TRAINING_ROWS = 5_000
 N_BUCKETS = 1 << 17
 NGRAMS = (2, 3, 4)
 #: Buckets that a repeated neighbour adds to: a word has some twenty n-grams against which one alone would be lost.
 REPEAT_WEIGHT = 6
-DIMENSIONS = 16
+DIMENSIONS = 8
 #: Steps of gradient descent at least, and passes over the training rows at least.
-LEAST_STEPS = 1500
-EPOCHS = 12
+LEAST_STEPS = 600
+EPOCHS = 8
 BATCH = 64
 RATE = 0.5
 SEED = 20240229
@@ -116,6 +116,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Quality
     rng = np.random.default_rng(SEED)
     prior = float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1)))
     usable = [i for i, (k, _) in enumerate(docs) if len(k)]
+    shares = [(n / max(1, n.sum())).astype(np.float32) for _, n in docs]
     if len(set(label.tolist())) < 2 or not usable:
         return QualityModel(np.zeros(N_BUCKETS, np.float32), prior)
     vectors = rng.uniform(-1, 1, (N_BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
@@ -134,7 +135,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Quality
             rate = RATE * (1 - done / steps)
             done += 1
             keys = np.concatenate([docs[i][0] for i in chosen])
-            share = np.concatenate([docs[i][1] / docs[i][1].sum() for i in chosen]).astype(np.float32)
+            share = np.concatenate([shares[i] for i in chosen])
             cut = np.concatenate(([0], np.cumsum([len(docs[i][0]) for i in chosen])))[:-1]
             mean = np.add.reduceat(vectors[keys] * share[:, None], cut, axis=0)
             logits = mean @ out + bias
@@ -148,7 +149,10 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Quality
             bias -= rate / len(y) * p.sum(0)
             size = np.diff(np.append(cut, len(keys)))
             # Averages make gradients small: vectors move by each document's own step.
-            np.subtract.at(vectors, keys, rate * np.repeat(back, size, axis=0) * share[:, None])
+            order = np.argsort(keys)
+            distinct = keys[order]
+            first = np.flatnonzero(np.append(True, distinct[1:] != distinct[:-1]))
+            vectors[distinct[first]] -= rate * np.add.reduceat((np.repeat(back, size, axis=0) * share[:, None])[order], first, axis=0)
     return QualityModel((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
