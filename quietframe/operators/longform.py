@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 
-BY_FRAME = Window.partitionBy("stream_id", "frame_no").orderBy("bin")
-BY_BIN = Window.partitionBy("stream_id", "bin").orderBy("frame_no")
+
+
+def by_frame():
+    return Window.partitionBy("stream_id", "frame_no").orderBy("bin")
+
+
+def by_bin():
+    return Window.partitionBy("stream_id", "bin").orderBy("frame_no")
 
 
 def lit(x: float) -> Column:
@@ -71,7 +77,8 @@ def sanitize(x: Column) -> Column:
 # Smoothing along bins, frames and bands
 
 
-def smooth3(x: str, factor: float, over: Window = BY_FRAME) -> Column:
+def smooth3(x: str, factor: float) -> Column:
+    over = by_frame()
     before, after = F.lag(x).over(over), F.lead(x).over(over)
     n = 1 + before.isNotNull().cast("int") + after.isNotNull().cast("int")
     return (F.coalesce(before, lit(0)) + F.col(x) + F.coalesce(after, lit(0))) / n * factor + F.col(x) * (1 - factor)
@@ -85,8 +92,8 @@ def smooth_bands(x: str, over: Window) -> Column:
 def fill_gaps(df: DataFrame, x: str, threshold: float, bins: int, name: str = "filled") -> DataFrame:
     """Straight lines over runs below the threshold; bin 0 anchors, a trailing gap stays."""
     solid = (F.col(x) >= threshold) | (F.col("bin") == 0)
-    left = F.last(F.when(solid, F.struct("bin", x)), ignorenulls=True).over(BY_FRAME.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(F.when(F.col(x) >= threshold, F.struct("bin", x)), ignorenulls=True).over(BY_FRAME.rowsBetween(0, Window.unboundedFollowing))
+    left = F.last(F.when(solid, F.struct("bin", x)), ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first(F.when(F.col(x) >= threshold, F.struct("bin", x)), ignorenulls=True).over(by_frame().rowsBetween(0, Window.unboundedFollowing))
     df = df.withColumn("_l", left).withColumn("_r", right)
     line = F.col(f"_l.{x}") + (F.col(f"_r.{x}") - F.col(f"_l.{x}")) * (F.col("bin") - F.col("_l.bin")) / (F.col("_r.bin") - F.col("_l.bin"))
     gap = (F.col(x) < threshold) & (F.col("bin") > 0) & (F.col("bin") < bins - 1) & F.col("_r").isNotNull()
@@ -95,7 +102,7 @@ def fill_gaps(df: DataFrame, x: str, threshold: float, bins: int, name: str = "f
 
 def delayed(x: str, frames_back: int) -> Column:
     """Delay line: the value of an earlier frame, 0 before the start."""
-    return F.coalesce(F.lag(x, frames_back).over(BY_BIN), lit(0))
+    return F.coalesce(F.lag(x, frames_back).over(by_bin()), lit(0))
 
 
 def median_of(values: Column, n: int) -> Column:
@@ -106,15 +113,15 @@ def median_of(values: Column, n: int) -> Column:
 
 def rolling_median(x: str, n: int = K.MEDIAN_FRAMES) -> Column:
     """Median of the last n frames, those before the start counted as 0."""
-    seen = F.collect_list(x).over(BY_BIN.rowsBetween(-(n - 1), 0))
+    seen = F.collect_list(x).over(by_bin().rowsBetween(-(n - 1), 0))
     return median_of(F.concat(seen, F.array_repeat(lit(0), F.lit(n) - F.size(seen))), n)
 
 
 def bin_median(profile: DataFrame, x: str, bins: int, name: str = "floor", n: int = K.TONAL_WINDOW) -> DataFrame:
     """Running median along bins, the ends repeated."""
     half = n // 2
-    seen = F.collect_list(x).over(BY_FRAME.rowsBetween(-half, half))
-    first, last = (f(x).over(BY_FRAME.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for f in (F.first, F.last))
+    seen = F.collect_list(x).over(by_frame().rowsBetween(-half, half))
+    first, last = (f(x).over(by_frame().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for f in (F.first, F.last))
     low = F.greatest(F.lit(half) - F.col("bin"), F.lit(0)).cast("int")
     high = F.greatest(F.col("bin") + half - (bins - 1), F.lit(0)).cast("int")
     return profile.withColumn(name, median_of(F.concat(F.array_repeat(first, low), seen, F.array_repeat(last, high)), n))
