@@ -261,6 +261,29 @@ def spread(energies: DataFrame) -> DataFrame:
     return summed.select("stream_id", "frame_no", "band", F.pow("s", lit(1 / K.SPREAD_EXPONENT)).alias("spread"))
 
 
+def band_threshold(spreads: DataFrame, energies: DataFrame) -> DataFrame:
+    """Simultaneous masking: spread energy less an offset between that of tones and that of noise."""
+    t = F.col("tonality")
+    offset = t * (K.TONE_OFFSET + F.least(F.col("band") + 1, F.lit(25))) + K.NOISE_OFFSET * (1 - t)
+    joined = spreads.join(energies, ["stream_id", "frame_no", "band"])
+    return joined.select("stream_id", "frame_no", "band", F.pow(lit(10), F.log10(F.col("spread") + K.EPSILON) - offset / 10).alias("threshold"))
+
+
+def forward_masking(thresholds: DataFrame, hop_seconds: float) -> DataFrame:
+    """Thresholds with what earlier frames still mask, added by a power law."""
+    w = F.least(F.col("band"), F.lit(24)) / 24
+    decay = F.exp(-hop_seconds / ((1 - w) * K.FORWARD_LOW_S + w * K.FORWARD_HIGH_S))
+    rows = thresholds.select("stream_id", F.col("band").alias("bin"), "frame_no", F.struct("threshold", decay.alias("decay")).alias("power"))
+    p = K.TIME_EXPONENT
+    step = lambda state, x: F.pow(F.pow(x["threshold"], lit(p)) + F.pow(state * x["decay"], lit(p)), lit(1 / p))
+    return fold(rows, lit(0), step).select("stream_id", "frame_no", F.col("bin").alias("band"), F.col("state").alias("threshold"))
+
+
+def no_suppression() -> tuple[Column, Column]:
+    """Over- and under-subtraction of the strategy that does nothing."""
+    return lit(1), lit(0)
+
+
 def interpolate_bands(frame_bands: DataFrame, ranges: list[tuple[int, int]], bins: int, x: str) -> DataFrame:
     """Values at band centers to bins, straight lines between, flat beyond the outer centers."""
     spark = frame_bands.sparkSession

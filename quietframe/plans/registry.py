@@ -304,6 +304,35 @@ def q_spreading(spark, d):
     return rounded(s.where(F.col("band").isin(held)), 5)
 
 
+_THRESHOLDS = f"""{_ENERGIES},
+  leveled AS (SELECT *, least(greatest(15 - (10 * log10(energy + 1e-12) + 96 - 40) * 0.2, 5), 15) AS up FROM energies),
+  parts AS (SELECT l.stream_id, l.frame_no, t.band, l.energy * pow(10, (15.81 + (25 - up) / 2 * (t.band - l.band + 0.474) - (25 + up) / 2 * sqrt(1 + pow(t.band - l.band + 0.474, 2))) / 10) AS p FROM leveled l, bands t WHERE t.hi > t.lo),
+  spreads AS (SELECT stream_id, frame_no, band, pow(sum(pow(p, 0.4)), 2.5) AS spread FROM parts GROUP BY ALL),
+  thresholds AS (SELECT stream_id, frame_no, band, pow(10, log10(spread + 1e-12) - (tonality * (14.5 + least(band + 1, 25)) + 6 * (1 - tonality)) / 10) AS threshold FROM spreads JOIN energies USING (stream_id, frame_no, band))"""
+
+
+def _thresholds(spark, d):
+    e = L.band_sums(spectra(spark, d), L.band_dimension(spark, BARK))
+    return L.band_threshold(L.spread(e), e)
+
+
+@query("q_band_threshold", f"WITH {_SPECTRA}, {_bands_sql(BARK)}, {_THRESHOLDS} SELECT stream_id, frame_no, band, round(threshold, 5) AS threshold FROM thresholds")
+def q_band_threshold(spark, d):
+    return rounded(_thresholds(spark, d), 5)
+
+
+@query(
+    "q_forward_masking",
+    f"""WITH RECURSIVE {_SPECTRA}, {_bands_sql(BARK)}, {_THRESHOLDS},
+      decays AS (SELECT band, exp(-{FFT / (4 * RATE)} / ((1 - least(band, 24) / 24.0) * 0.1 + least(band, 24) / 24.0 * 0.025)) AS decay FROM bands),
+      walk AS (SELECT stream_id, band, frame_no, threshold AS t FROM thresholds WHERE frame_no = 0
+        UNION ALL SELECT x.stream_id, x.band, x.frame_no, pow(pow(x.threshold, 0.6) + pow(w.t * decay, 0.6), 1 / 0.6) FROM walk w JOIN thresholds x ON x.stream_id = w.stream_id AND x.band = w.band AND x.frame_no = w.frame_no + 1 JOIN decays c ON c.band = x.band)
+      SELECT stream_id, frame_no, band, round(t, 4) AS threshold FROM walk""",
+)
+def q_forward_masking(spark, d):
+    return rounded(L.forward_masking(_thresholds(spark, d), FFT / (4 * RATE)), 4)
+
+
 @query(
     "q_band_smooth",
     f"""WITH {_SPECTRA}, {_bands_sql(BARK)}, {_ENERGIES}, n AS (SELECT *, lag(energy) OVER w AS a, lead(energy) OVER w AS b FROM energies WINDOW w AS (PARTITION BY stream_id, frame_no ORDER BY band))
