@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, lowered, mix64, run_hashes, staged, text_slices, word_bounds
+from .common import connected, if_small, lowered, mix64, run_hashes, staged, tasks_for, text_slices, word_bounds
 
 #: 10 trees of up to 6 levels; at similarity 0.8 a pair is missed by all trees with probability 0.2**10 at one level
 #: and 0.01 at two, which only pairs with very common shingles need.
@@ -127,11 +127,13 @@ def _propose(reps: DataFrame, threshold: float) -> DataFrame:
         # Level l of tree t uses its own minwise hash: 4 bytes of the signature.
         return F.substring(F.col("sig"), F.col("tree") * (4 * LEVELS) + 4 * level + 1, F.lit(4))
 
+    rows = reps.count() * TREES
     at = reps.select("id", "sig", tree.alias("tree")).withColumn("node", F.xxhash64("tree", token(0)))
     out = None
     for level in range(LEVELS):
         last = level == LEVELS - 1
-        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        n = tasks_for(spark, rows, 5_000)
+        sizes = if_small(staged(at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").coalesce(n)))
         # A node that is still large after all levels holds sets that agree again and again: it is dealt to runs
         # of its members, each with the node's least member, so it stays together without being paired in full.
         small = sizes.where(f"size <= {SMALL_NODE}") if not last else sizes
@@ -144,12 +146,13 @@ def _propose(reps: DataFrame, threshold: float) -> DataFrame:
             groups = groups.select(F.array_distinct(F.concat(F.array("lead"), "members")).alias("members"))
         else:
             groups = there.groupBy("node").agg(F.collect_list(F.struct("id", "sig")).alias("members")).select("members")
-        links = staged(groups.mapInArrow(_node_links(threshold), "a long, b long").distinct())
+        links = staged(groups.coalesce(n).mapInArrow(_node_links(threshold), "a long, b long").distinct().coalesce(n))
         out = links if out is None else out.unionByName(links)
         if last:
             break
-        at = staged(at.join(sizes.where(f"size > {SMALL_NODE}").select("node"), "node").select("id", "sig", "tree", F.xxhash64("node", token(level + 1)).alias("node")))
-        if at.isEmpty():
+        at = staged(at.join(sizes.where(f"size > {SMALL_NODE}").select("node"), "node").select("id", "sig", "tree", F.xxhash64("node", token(level + 1)).alias("node")).coalesce(n))
+        rows = at.count()
+        if not rows:
             break
     return out if out is not None else spark.createDataFrame([], "a long, b long")
 
@@ -215,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     made = staged(slim.mapInArrow(_summaries(words), "id long, n long, d1 long, d2 long, sig binary"))
     # A null id cannot be reached or reach: it stays a component of its own.
     full = made.where("n > 0 and id is not null")
-    reps = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    reps = staged(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
     proposed = connected(_propose(reps.select(F.col("rep").alias("id"), "sig"), threshold_percent / 100))
     links = _confirm(slim, staged(proposed), words, threshold_percent)
     same = full.join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")

@@ -151,6 +151,20 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+#: Rows of a few numbers that may be broadcast, a few MB; beyond that a join shuffles.
+SMALL_ROWS = 100_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A staged table of a few numbers a row, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int = 50_000) -> int:
+    """Tasks for a counted number of small rows."""
+    return max(1, min(partitions(spark), -(-rows // each)))
+
+
 def connected(edges: DataFrame, vertex_type: str = "long") -> DataFrame:
     """Components of an undirected graph: ``(v, component)`` with the least id.
 
@@ -166,16 +180,20 @@ def connected(edges: DataFrame, vertex_type: str = "long") -> DataFrame:
     live = staged(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     names = None
     for round_no in range(200):
-        if live.isEmpty():
+        rows = live.count()
+        if not rows:
             break
+        # Every later table of this graph is smaller: few rows go to few tasks, however many partitions are set.
+        n = tasks_for(spark, rows)
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = F.struct(F.xxhash64(F.col("b"), F.lit(round_no)).alias("p"), F.col("b").alias("v"))
         own = F.struct(F.xxhash64(F.col("a"), F.lit(round_no)).alias("p"), F.col("a").alias("v"))
-        to = staged(both.groupBy("a").agg(F.min(rank).alias("m")).select(F.col("a").alias("v"), F.least("m", own)["v"].alias("to")))
+        to = both.groupBy("a").agg(F.min(rank).alias("m")).select(F.col("a").alias("v"), F.least("m", own)["v"].alias("to"))
+        to = if_small(staged(to.coalesce(n)))
         left = to.select(F.col("v").alias("a"), F.col("to").alias("a2"))
         right = to.select(F.col("v").alias("b"), F.col("to").alias("b2"))
         nxt = live.join(left, "a").join(right, "b").where("a2 <> b2")
-        nxt = staged(nxt.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        nxt = staged(nxt.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct().coalesce(n))
         if names is None:
             names = to.select("v", F.col("to").alias("at"))
         else:
@@ -184,5 +202,5 @@ def connected(edges: DataFrame, vertex_type: str = "long") -> DataFrame:
         live = nxt
     if names is None:
         return spark.createDataFrame([], f"v {vertex_type}, component {vertex_type}")
-    least = names.groupBy("at").agg(F.min("v").alias("component"))
-    return names.join(least, "at").select("v", "component")
+    least = if_small(staged(names.groupBy("at").agg(F.min("v").alias("component")).coalesce(tasks_for(spark, names.count()))))
+    return staged(names.join(least, "at").select("v", "component"))
