@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,8 +200,67 @@ def transition_logs(tree: ContextTree, keys: np.ndarray) -> np.ndarray:
     return logs[back]
 
 
+@dataclass
+class Batch:
+    """Distinct words and units of a slice of documents, in the order in which buckets answer.
+
+    ``unit`` and ``n`` are the units of each document and how often they
+    occur; ``doc`` the document of each of these.
+    """
+
+    words: list[bytes]
+    word_cut: np.ndarray
+    rank: np.ndarray
+    tail: np.ndarray
+    doc: np.ndarray
+    unit: np.ndarray
+    n: np.ndarray
+    sizes: np.ndarray
+
+
+def read_batch(raw: bytes, offsets: np.ndarray, buckets: int) -> Batch:
+    known: dict[bytes, int] = {}
+    place = known.setdefault
+    ids: list[int] = []
+    sizes = np.zeros(len(offsets) - 1, np.int64)
+    for i in range(len(sizes)):
+        words = raw[offsets[i] : offsets[i + 1]].split()
+        sizes[i] = len(words)
+        ids += [place(w, len(known)) for w in words]
+    word = np.array(ids, np.int64)
+    del ids
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    names = sorted(known)
+    if not names:
+        none = np.zeros(0, np.int64)
+        return Batch([], np.zeros(buckets + 1, np.int64), none, none, none, none, none, sizes)
+    length = np.fromiter(map(len, names), np.int64, len(names))
+    ends = np.cumsum(length)
+    spelled = np.frombuffer(b"".join(names), np.uint8)
+    of = (run_hashes(spelled, ends - length, ends) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[np.fromiter(map(known.__getitem__, names), np.int64, len(names))[order]] = np.arange(len(order))
+    last = np.where(length > 1, spelled[np.maximum(ends - 2, 0)], END).astype(np.int64)
+    tails = ((last << 8) | spelled[ends - 1])[order]
+    word = rank[word]
+    before = np.full(len(word), (END << 8) | END, np.int64)
+    before[1:] = np.where(doc[1:] == doc[:-1], tails[word[:-1]], before[1:])
+    pair, n = np.unique((doc << 40) | (word << 16) | before, return_counts=True)
+    unit, of_pair = np.unique(pair & ((1 << 40) - 1), return_inverse=True)
+    return Batch([names[i] for i in order], np.searchsorted(of[order], np.arange(buckets + 1)), unit >> 16, unit & 0xFFFF, pair >> 40, of_pair, n, sizes)
+
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.compress(x if isinstance(x, bytes) else x.tobytes(), 3)
+
+
+def _unpack(blob: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), dtype)
+
+
 def _forward(buckets: int):
-    """Documents to one header per batch and one list of distinct words per batch and bucket."""
+    """Documents to one row per batch with its text, and one with its distinct words per batch and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -209,60 +269,25 @@ def _forward(buckets: int):
             for lo, hi, data, offsets in text_slices(batch.column(1), BATCH_BYTES):
                 number += 1
                 raw = data.tobytes().lower()
-                known: dict[bytes, int] = {}
-                place = known.setdefault
-                ids: list[int] = []
-                sizes = []
-                for i in range(hi - lo):
-                    words = raw[offsets[i] : offsets[i + 1]].split()
-                    sizes.append(len(words))
-                    ids += [place(w, len(known)) for w in words]
-                sizes = np.array(sizes, np.int64)
-                word = np.array(ids, np.int64)
-                doc = np.repeat(np.arange(hi - lo), sizes)
-                names = list(known)
-                if names:
-                    length = np.fromiter(map(len, names), np.int64, len(names))
-                    ends = np.cumsum(length)
-                    spelled = np.frombuffer(b"".join(names), np.uint8)
-                    last = np.where(length > 1, spelled[np.maximum(ends - 2, 0)], END).astype(np.int64)
-                    tails = (last << 8) | spelled[ends - 1]
-                    of = (run_hashes(spelled, ends - length, ends) % np.uint64(buckets)).astype(np.int64)
-                else:
-                    of = np.zeros(0, np.int64)
-                order = np.argsort(of, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                names = [names[i] for i in order]
-                cut = np.searchsorted(of[order], np.arange(buckets + 1))
-                before = np.full(len(word), (END << 8) | END, np.int64)
-                if len(word):
-                    before[1:] = np.where(doc[1:] == doc[:-1], tails[word[:-1]], before[1:])
-                pair, n = np.unique((doc << 40) | (rank[word] << 16) | before, return_counts=True) if len(word) else (word, word)
-                per_doc = np.bincount(pair >> 40, minlength=hi - lo)
-                unit, of_pair = np.unique(pair & ((1 << 40) - 1), return_inverse=True)
-                unit_word, unit_tail = unit >> 16, unit & 0xFFFF
-                trained = np.bincount(of_pair, weights=n * train[lo:hi][pair >> 40], minlength=len(unit)).astype(np.int32)
-                # Units stand in the order of their words, so a bucket's units are one run of them.
-                unit_cut = np.searchsorted(unit_word, cut)
-                header = [np.asarray(x).tobytes() for x in (per_doc.astype(np.int32), of_pair.astype(np.int32), n.astype(np.int32), sizes, unit_word.astype(np.int32), unit_tail.astype(np.uint16))]
-                ids_held = pa.concat_arrays([batch.column(0).slice(lo, hi - lo)]).to_pylist()
+                b = read_batch(raw, offsets, buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1], pa.int32()), pa.array([number]), pa.array([b"\n".join(names)], pa.binary()), pa.array([header[1]], pa.binary()), pa.array([header[0]], pa.binary()), pa.array([header[2]], pa.binary()), pa.array([header[3]], pa.binary()), pa.array([header[4]], pa.binary()), pa.array([header[5]], pa.binary()), pa.array([ids_held], pa.list_(pa.int64())), pa.array([(~train[lo:hi]).tobytes()], pa.binary())],
-                    _FORWARD_NAMES,
-                )
-                full = np.flatnonzero(np.diff(cut))
-                none = pa.nulls(len(full), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)), pa.array([b"\n".join(names[cut[b] : cut[b + 1]]) for b in full], pa.binary()), *(pa.array([x[unit_cut[b] : unit_cut[b + 1]].tobytes() for b in full], pa.binary()) for x in (trained, (unit_word - np.repeat(cut[:-1], np.diff(unit_cut))).astype(np.int32), unit_tail.astype(np.uint16))), none, none, none, pa.nulls(len(full), pa.list_(pa.int64())), none],
+                    [pa.array([-1], pa.int32()), pa.array([number]), pa.array([_pack(raw)], pa.binary()), pa.array([_pack(np.diff(offsets))], pa.binary()), pa.array([(~train[lo:hi]).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64()))],
                     _FORWARD_NAMES,
                 )
+                trained = np.bincount(b.unit, weights=b.n * train[lo:hi][b.doc], minlength=len(b.rank)).astype(np.int32)
+                # Units stand in the order of their words, so a bucket's units are one run of them.
+                unit_cut = np.searchsorted(b.rank, b.word_cut)
+                per_word = np.bincount(b.rank, minlength=len(b.words)).astype(np.uint32)
+                full = np.flatnonzero(np.diff(b.word_cut))
+                parts = [[_pack(b"\n".join(b.words[b.word_cut[k] : b.word_cut[k + 1]])) for k in full], [_pack(trained[unit_cut[k] : unit_cut[k + 1]]) for k in full]]
+                parts += [[_pack(per_word[b.word_cut[k] : b.word_cut[k + 1]]) for k in full], [_pack(b.tail[unit_cut[k] : unit_cut[k + 1]].astype(np.uint16)) for k in full]]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)), *(pa.array(x, pa.binary()) for x in parts), pa.nulls(len(full), pa.list_(pa.int64()))], _FORWARD_NAMES)
 
     return run
 
 
-_FORWARD_NAMES = ["bucket", "batch", "words", "a", "b", "c", "d", "e", "f", "ids", "held"]
-_FORWARD = "bucket int, batch long, words binary, a binary, b binary, c binary, d binary, e binary, f binary, ids array<long>, held binary"
+_FORWARD_NAMES = ["bucket", "batch", "words", "a", "b", "c", "ids"]
+_FORWARD = "bucket int, batch long, words binary, a binary, b binary, c binary, ids array<long>"
 _VOCABULARY = "kind int, at long, part int, n long, v long, keys binary, counts binary"
 
 
@@ -274,14 +299,15 @@ def _vocabulary(parts: int):
         known: dict[bytes, int] = {}
         place = known.setdefault
         batches, members, units, sums = table.column("batch").to_pylist(), [], [], []
-        for words, trained, local, tail in zip(*(table.column(c).to_pylist() for c in ("words", "a", "b", "c")), strict=True):
-            members.append(np.array([place(w, len(known)) for w in words.split(b"\n")], np.int64))
-            units.append((members[-1][np.frombuffer(local, np.int32)] << 16) | np.frombuffer(tail, np.uint16))
-            sums.append(np.frombuffer(trained, np.int32))
+        for words, trained, per_word, tail in zip(*(table.column(c).to_pylist() for c in ("words", "a", "b", "c")), strict=True):
+            members.append(np.array([place(w, len(known)) for w in zstandard.decompress(words).split(b"\n")], np.int64))
+            n = _unpack(trained, np.int32)
+            unit = (np.repeat(members[-1], _unpack(per_word, np.uint32)) << 16) | _unpack(tail, np.uint16)
+            units.append(unit[n > 0])
+            sums.append(n[n > 0])
         unit, n = _sums(np.concatenate(units), np.concatenate(sums).astype(float))
-        unit, n = unit[n > 0], n[n > 0]
         total = np.bincount(unit >> 16, weights=n, minlength=len(known)).astype(np.int64)
-        rows = [(0, b, bucket, 0, 0, total[m].astype(np.int64).tobytes(), None) for b, m in zip(batches, members, strict=True)]
+        rows = [(0, b, bucket, 0, 0, _pack(total[m].astype(np.uint64)), None) for b, m in zip(batches, members, strict=True)]
         rows.append((1, 0, bucket, int(total.sum()), int((total > 0).sum()), None, None))
         if len(unit):
             keys, of = unit_transitions(unit_bytes(list(known), unit >> 16, unit & 0xFFFF))
@@ -292,7 +318,7 @@ def _vocabulary(parts: int):
             cut = np.searchsorted(of[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)):
                 chosen = order[cut[p] : cut[p + 1]]
-                rows.append((2, 0, int(p), 0, 0, keys[chosen].tobytes(), n[chosen].astype(np.int64).tobytes()))
+                rows.append((2, 0, int(p), 0, 0, _pack(np.diff(keys[chosen], prepend=np.uint64(0))), _pack(n[chosen].astype(np.uint64))))
         columns = list(zip(*rows, strict=True))
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "at", "part", "n", "v", "keys", "counts"])
@@ -301,8 +327,8 @@ def _vocabulary(parts: int):
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
+    keys = np.concatenate([np.cumsum(_unpack(k, np.uint64)) for k in table.column("keys").to_pylist()])
+    counts = np.concatenate([_unpack(c, np.uint64) for c in table.column("counts").to_pylist()])
     unique, n = _sums(keys, counts.astype(float))
     n = n.astype(np.int64)
     tops = np.bincount(np.minimum(63, np.log2(n).astype(np.int64)), minlength=64)
@@ -339,22 +365,23 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         end_log = float(transition_logs(tree.value, np.array([_end_transition()]))[0])
         for batch in batches:
             for row in batch.to_pylist():
-                names = row["words"].split(b"\n") if row["words"] else []
-                answers = [np.frombuffer(x["keys"], np.int64) for x in sorted(row["answers"] or [], key=lambda x: x["part"])]
-                counts = np.concatenate(answers) if answers else np.zeros(0, np.int64)
-                unit, per_doc, n, sizes, rank, tail = (np.frombuffer(row[k], t) for k, t in (("a", np.int32), ("b", np.int32), ("c", np.int32), ("d", np.int64), ("e", np.int32), ("f", np.uint16)))
-                doc = np.repeat(np.arange(len(per_doc)), per_doc)
-                base = np.bincount(doc, weights=n * np.log10(counts + 0.1)[rank[unit]], minlength=len(per_doc)) + np.log10(ends + 0.1)
-                score = np.bincount(doc, weights=n * unit_logs(tree.value, unit_bytes(names, rank, tail))[unit], minlength=len(per_doc)) + end_log
-                known = np.bincount(doc, weights=n * (counts > 0)[rank[unit]], minlength=len(per_doc)).astype(np.int64) + (ends > 0)
-                tokens = sizes + 1
+                offsets = np.concatenate(([0], np.cumsum(_unpack(row["a"], np.int64))))
+                b = read_batch(zstandard.decompress(row["words"]), offsets, buckets)
+                answers = [_unpack(x["keys"], np.uint64) for x in sorted(row["answers"] or [], key=lambda x: x["part"])]
+                counts = np.concatenate(answers).astype(np.int64) if answers else np.zeros(0, np.int64)
+                docs_in, of_word = len(b.sizes), b.rank[b.unit]
+                base = np.bincount(b.doc, weights=b.n * np.log10(counts + 0.1)[of_word], minlength=docs_in) + np.log10(ends + 0.1)
+                logs = np.concatenate([unit_logs(tree.value, unit_bytes(b.words, b.rank[at : at + 100_000], b.tail[at : at + 100_000])) for at in range(0, len(b.rank), 100_000)] or [np.zeros(0)])
+                score = np.bincount(b.doc, weights=b.n * logs[b.unit], minlength=docs_in) + end_log
+                known = np.bincount(b.doc, weights=b.n * (counts > 0)[of_word], minlength=docs_in).astype(np.int64) + (ends > 0)
+                tokens = b.sizes + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(np.frombuffer(row["held"], bool)), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), n_train, np.int64)), pa.array(base - tokens * base_of), pa.array(score)],
+                    [pa.array(row["ids"], pa.int64()), pa.array(np.frombuffer(row["b"], bool)), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), n_train, np.int64)), pa.array(base - tokens * base_of), pa.array(score)],
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     answers = found.where("kind = 0").groupBy(F.col("at").alias("batch")).agg(F.collect_list(F.struct("part", "keys")).alias("answers"))
-    headers = sent.where("bucket = -1").select("batch", "words", "a", "b", "c", "d", "e", "f", "ids", "held")
+    headers = sent.where("bucket = -1").select("batch", "words", "a", "b", "ids")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return headers.join(answers, "batch", "left").mapInArrow(final, schema)
 
