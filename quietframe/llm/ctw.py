@@ -15,8 +15,13 @@ batch of documents:
 1. batches of documents send their distinct words to buckets by word hash;
 2. a bucket adds up its words' training counts, answers every batch, and
    counts the byte transitions of its words;
-3. transitions, merged, are compiled to a model of bounded size;
-4. batches meet their answers and score their documents.
+3. transitions are merged in parts by the last ``SPLIT`` bytes of their context;
+   the driver gets each part's nodes of that depth and makes the tree above them;
+4. every part compiles its subtrees in full and answers the distinct transitions
+   of each batch;
+5. batches meet their answers and score their documents.
+
+The model keeps every transition of the training rows.
 """
 
 from __future__ import annotations
@@ -31,15 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, run_hashes, staged, text_slices
+from .common import mix64, partitions, run_hashes, staged, text_slices
 
 DEPTH = 6
 TAIL = 2
-#: Bound of the model: transitions (context, byte) that keep their whole context; with more, the rarest are counted in
-#: their last ``SHORT`` bytes only.  A compiled model has about 120 bytes for each.
-MAX_TRANSITIONS = 600_000
-SHORT = 4
+#: Nodes up to this depth are on the driver and broadcast: at most 255 decisions in each of 2**16 contexts, whatever the
+#: corpus.  All deeper nodes stay in the part that their last ``SPLIT`` bytes are dealt to.
+SPLIT = 2
 BATCH_BYTES = 6 << 20
+UNITS_AT_ONCE = 25_000
 END = 0x0A
 BLANK = 0x20
 
@@ -71,19 +76,52 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (unique, *(np.bincount(at, weights=v, minlength=len(unique)) for v in values))
 
 
+@dataclass
+class Top:
+    """The tree down to ``SPLIT`` bytes: as in :class:`ContextTree`, and what the deepest nodes hand down."""
+
+    keys: list[np.ndarray]
+    ones: list[np.ndarray]
+    done: np.ndarray
+    rest: np.ndarray
+
+
 def compile_tree(transitions: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> ContextTree:
-    """Weights and predictions from counts of ``context << 8 | byte`` (contexts of ``depth`` bytes).
+    """Weights and predictions from counts of ``context << 8 | byte`` (contexts of ``depth`` bytes)."""
+    order = np.argsort(transitions)
+    transitions, counts = transitions[order], counts[order]
+    return compile_part(transitions, counts, compile_top(*split_nodes(transitions, counts, depth)), depth)
+
+
+def split_nodes(transitions: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
+    """Nodes at depth ``SPLIT``: keys, zeros, ones, and the log of the mixture of the subtree below each."""
+    found = []
+    for level in range(8):
+        nodes, _, mixed = _rise(_decisions(transitions, counts, level), None, depth, SPLIT)
+        found.append((*nodes[0], mixed))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def compile_top(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray) -> Top:
+    order = np.argsort(keys)
+    nodes, weights, _ = _rise((keys[order], zeros[order], ones[order]), mixed[order], SPLIT, 0)
+    out, done, rest = _fall(nodes, weights, 0, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    return Top([k for k, _ in out], [p for _, p in out], done, rest)
+
+
+def compile_part(transitions: np.ndarray, counts: np.ndarray, top: Top, depth: int = DEPTH) -> ContextTree:
+    """The subtrees of a part's transitions (ascending), under the whole of ``top``.
 
     Each binary decision has a context tree of its own, so the eight levels of
     decisions are compiled one after the other, in an eighth of the memory.
     """
-    order = np.argsort(transitions)
-    transitions, counts = transitions[order], counts[order]
-    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(depth + 1)]
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(SPLIT, depth)]
     for level in range(8):
-        for d, part in enumerate(_compile_level(transitions, counts, depth, level)):
-            parts[d].append(part)
-    keys, ones = [], []
+        nodes, weights, _ = _rise(_decisions(transitions, counts, level), None, depth, SPLIT)
+        out, _, _ = _fall(nodes[1:], weights[1:], SPLIT + 1, top.keys[SPLIT], top.done, top.rest)
+        for held, part in zip(parts, out, strict=True):
+            held.append(part)
+    keys, ones = list(top.keys), list(top.ones)
     for held in parts:
         k, p = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         held.clear()
@@ -94,41 +132,51 @@ def compile_tree(transitions: np.ndarray, counts: np.ndarray, depth: int = DEPTH
     return ContextTree(keys, ones, transitions, _byte_logs(tree, transitions).astype(np.float32))
 
 
-def _compile_level(transitions: np.ndarray, counts: np.ndarray, depth: int, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By depth: the nodes of this level's decisions, and each one's mixed chance of a one bit."""
+def _decisions(transitions: np.ndarray, counts: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """This level's decisions in the longest contexts, and their counts of zeros and ones."""
     byte = transitions & np.uint64(255)
     decision = (np.uint64(1) << np.uint64(level)) | (byte >> np.uint64(8 - level))
     one = ((byte >> np.uint64(7 - level)) & np.uint64(1)).astype(float)
-    held, zeros, ones = _sums((transitions & ~np.uint64(255)) | decision, counts * (1 - one), counts * one)
-    nodes = [(held, zeros, ones)]
-    for d in range(depth - 1, -1, -1):  # shorter contexts from the sums of the next longer ones
+    return _sums((transitions & ~np.uint64(255)) | decision, counts * (1 - one), counts * one)
+
+
+def _rise(deepest: tuple[np.ndarray, ...], mixed: np.ndarray | None, depth: int, upto: int):
+    """Nodes and weights from depth ``upto`` down to ``depth``, and the log mixture of each at ``upto``.
+
+    ``mixed`` is that of the deepest nodes; without it they are leaves.
+    """
+    nodes = [deepest]
+    for d in range(depth - 1, upto - 1, -1):  # shorter contexts from the sums of the next longer ones
         held, zeros, ones = nodes[0]
         nodes.insert(0, _sums(_shorter(held, d), zeros, ones))
-    weights: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-    below = np.zeros(0)
-    for d in range(depth, -1, -1):
-        keys, zeros, ones = nodes[d]
+    weights: list[np.ndarray] = []
+    leaf = mixed is None
+    for d in range(depth, upto - 1, -1):
+        keys, zeros, ones = nodes[d - upto]
         own = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
-        if d == depth:
-            mixed, weights[d] = own, np.ones(len(own))
-        else:
-            under = np.bincount(np.searchsorted(keys, _shorter(nodes[d + 1][0], d)), weights=below, minlength=len(keys))
+        if d < depth:
+            under = np.bincount(np.searchsorted(keys, _shorter(nodes[d + 1 - upto][0], d)), weights=mixed, minlength=len(keys))
             mixed = np.logaddexp(own, under) - np.log(2)
-            weights[d] = np.exp(own - np.log(2) - mixed)
-        below = mixed
+        elif leaf:
+            mixed = own
+        weights.insert(0, np.ones(len(own)) if leaf and d == depth else np.exp(own - np.log(2) - mixed))
+    return nodes, weights, mixed
+
+
+def _fall(nodes, weights, first: int, above: np.ndarray, done: np.ndarray, rest: np.ndarray):
+    """By depth from ``first`` on: nodes and each one's mixed chance of a one bit; and what the deepest hand down."""
     out = []
-    done = rest = np.zeros(0)
-    for d in range(depth + 1):
-        keys, zeros, ones = nodes[d]
+    for d, ((keys, zeros, ones), weight) in enumerate(zip(nodes, weights, strict=True), first):
         estimate = (ones + 0.5) / (zeros + ones + 1)
         if d == 0:
-            done, rest = weights[0] * estimate, 1 - weights[0]
+            done, rest = weight * estimate, 1 - weight
         else:
-            up = np.searchsorted(nodes[d - 1][0], _shorter(keys, d - 1))
-            done, rest = done[up] + rest[up] * weights[d] * estimate, rest[up] * (1 - weights[d])
+            up = np.searchsorted(above, _shorter(keys, d - 1))
+            done, rest = done[up] + rest[up] * weight * estimate, rest[up] * (1 - weight)
         # Below the last context that was seen nothing is known: that context's own estimate stands for the rest.
         out.append((keys, (done + rest * estimate).astype(np.float32)))
-    return out
+        above = keys
+    return out, done, rest
 
 
 def _shorter(keys: np.ndarray, d: int) -> np.ndarray:
@@ -182,14 +230,6 @@ def _end_transition() -> np.uint64:
     return np.uint64((BLANK << 8) | END)
 
 
-def unit_logs(tree: ContextTree, units: list[bytes]) -> np.ndarray:
-    """log10 chance of each unit's word with its blank."""
-    if not units:
-        return np.zeros(0)
-    keys, unit = unit_transitions(units)
-    return np.bincount(unit, weights=transition_logs(tree, keys), minlength=len(units))
-
-
 def transition_logs(tree: ContextTree, keys: np.ndarray) -> np.ndarray:
     distinct, back = np.unique(keys, return_inverse=True)
     logs = np.zeros(len(distinct))
@@ -251,6 +291,48 @@ def read_batch(raw: bytes, offsets: np.ndarray, buckets: int) -> Batch:
     return Batch([names[i] for i in order], np.searchsorted(of[order], np.arange(buckets + 1)), unit >> 16, unit & 0xFFFF, pair >> 40, of_pair, n, sizes)
 
 
+def _unit_runs(b: Batch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of a batch's units: where a run begins, its transitions, and the unit in the run each belongs to."""
+    for at in range(0, len(b.rank), UNITS_AT_ONCE):
+        yield at, *unit_transitions(unit_bytes(b.words, b.rank[at : at + UNITS_AT_ONCE], b.tail[at : at + UNITS_AT_ONCE]))
+
+
+def batch_transitions(b: Batch) -> np.ndarray:
+    """Distinct transitions of a batch, ascending, with that of the end."""
+    return np.unique(np.concatenate([np.array([_end_transition()]), *(np.unique(keys) for _, keys, _ in _unit_runs(b))]))
+
+
+def batch_logs(b: Batch, distinct: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log10 chance of each unit's word with its blank, from those of the batch's distinct transitions."""
+    out = np.zeros(len(b.rank))
+    for at, keys, unit in _unit_runs(b):
+        n = min(UNITS_AT_ONCE, len(out) - at)
+        out[at : at + n] = np.bincount(unit, weights=logs[np.searchsorted(distinct, keys)], minlength=n)
+    return out
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Contexts that end in the same ``SPLIT`` bytes are in one part, from whatever bucket or batch."""
+    return (mix64((keys >> np.uint64(8)) & np.uint64((1 << (8 * SPLIT)) - 1)) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has any of the keys, and where they stand, in order."""
+    of = _part_of(keys, parts)
+    order = np.argsort(of, kind="stable")
+    cut = np.searchsorted(of[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        yield int(p), order[cut[p] : cut[p + 1]]
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, np.uint64))
+
+
 def _pack(x: np.ndarray | bytes) -> bytes:
     return zstandard.compress(x if isinstance(x, bytes) else x.tobytes(), 3)
 
@@ -260,7 +342,7 @@ def _unpack(blob: bytes, dtype) -> np.ndarray:
 
 
 def _forward(buckets: int):
-    """Documents to one row per batch with its text, and one with its distinct words per batch and bucket."""
+    """Documents to one row per batch with its text and transitions, and one with its distinct words per batch and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -271,7 +353,7 @@ def _forward(buckets: int):
                 raw = data.tobytes().lower()
                 b = read_batch(raw, offsets, buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1], pa.int32()), pa.array([number]), pa.array([_pack(raw)], pa.binary()), pa.array([_pack(np.diff(offsets))], pa.binary()), pa.array([(~train[lo:hi]).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64()))],
+                    [pa.array([-1], pa.int32()), pa.array([number]), pa.array([_pack(raw)], pa.binary()), pa.array([_pack(np.diff(offsets))], pa.binary()), pa.array([(~train[lo:hi]).tobytes()], pa.binary()), pa.array([_pack_keys(batch_transitions(b))], pa.binary()), pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64()))],
                     _FORWARD_NAMES,
                 )
                 trained = np.bincount(b.unit, weights=b.n * train[lo:hi][b.doc], minlength=len(b.rank)).astype(np.int32)
@@ -312,13 +394,8 @@ def _vocabulary(parts: int):
         if len(unit):
             keys, of = unit_transitions(unit_bytes(list(known), unit >> 16, unit & 0xFFFF))
             keys, n = _sums(keys, n[of])
-            # Merged by what a transition's context is, so each comes together from all buckets.
-            of = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(of, kind="stable")
-            cut = np.searchsorted(of[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cut)):
-                chosen = order[cut[p] : cut[p + 1]]
-                rows.append((2, 0, int(p), 0, 0, _pack(np.diff(keys[chosen], prepend=np.uint64(0))), _pack(n[chosen].astype(np.uint64))))
+            for p, chosen in _by_part(keys, parts):
+                rows.append((2, 0, p, 0, 0, _pack_keys(keys[chosen]), _pack(n[chosen].astype(np.uint64))))
         columns = list(zip(*rows, strict=True))
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "at", "part", "n", "v", "keys", "counts"])
@@ -326,16 +403,58 @@ def _vocabulary(parts: int):
     return run
 
 
+_MERGED = "part int, keys binary, counts binary, node binary, zeros binary, ones binary, mixed binary"
+_ASKED = "part int, kind int, batch long, keys binary, counts binary"
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.cumsum(_unpack(k, np.uint64)) for k in table.column("keys").to_pylist()])
+    """All transitions of a part, and its nodes at depth ``SPLIT``."""
+    keys = np.concatenate([_unpack_keys(k) for k in table.column("keys").to_pylist()])
     counts = np.concatenate([_unpack(c, np.uint64) for c in table.column("counts").to_pylist()])
-    unique, n = _sums(keys, counts.astype(float))
-    n = n.astype(np.int64)
-    tops = np.bincount(np.minimum(63, np.log2(n).astype(np.int64)), minlength=64)
-    return pa.Table.from_arrays([pa.array([unique.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([tops.tolist()], pa.list_(pa.int64()))], ["keys", "counts", "tops"])
+    keys, n = _sums(keys, counts.astype(float))
+    node = [x.tobytes() for x in split_nodes(keys, n)]
+    row = [table.column("part")[0].as_py(), _pack_keys(keys), _pack(n.astype(np.uint64)), *node]
+    return pa.Table.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], [c.split()[0] for c in _MERGED.split(", ")])
+
+
+def _ask(parts: int):
+    """A batch's transitions to the parts that know of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = _unpack_keys(batch.column(1)[i].as_py())
+                asked = [(p, _pack_keys(keys[at])) for p, at in _by_part(keys, parts)]
+                n = len(asked)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in asked], pa.int32()), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array([k for _, k in asked], pa.binary()), pa.nulls(n, pa.binary())],
+                    ["part", "kind", "batch", "keys", "counts"],
+                )
+
+    return run
+
 
+def _answer(top):
+    """In each part the model comes first, then the batches that ask: log10 chances of what they ask for."""
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", max_transitions: int = MAX_TRANSITIONS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tree = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, kind, number, keys, counts = (batch.column(c)[i].as_py() for c in range(5))
+                if at != part:
+                    part = at
+                    tree = None
+                    model = (_unpack_keys(keys), _unpack(counts, np.uint64).astype(float)) if kind == 0 else (np.zeros(0, np.uint64), np.zeros(0))
+                    tree = compile_part(*model, top.value)
+                if kind:
+                    logs = transition_logs(tree, _unpack_keys(keys)).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(logs)], pa.binary())], ["batch", "kind", "part", "keys"])
+
+    return run
+
+
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text by a model of the rows for which ``held_out`` is false.
 
     Returns ``(id, held_out, n_tokens, n_known, train_tokens, base_score,
@@ -345,8 +464,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     token), ``n_known`` the tokens that occur in training.  Null, empty and
     blank texts are an end alone.  A null ``held_out`` counts as held out.
     Equal texts have equal scores; repeated ids keep a row each.  Without
-    training rows every bit has an even chance.  Word counts are exact and
-    cover all rows; only the compiled tree is bounded (``max_transitions``).
+    training rows every bit has an even chance.  Word counts and the tree cover
+    all training rows; both grow with the corpus and stay dealt over tasks.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -357,21 +476,37 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     ends = slim.agg(F.sum((~F.col("h")).cast("long"))).first()[0] or 0
     totals = found.where("kind = 1").agg(F.sum("n"), F.sum("v")).first()
     n_train, n_distinct = (totals[0] or 0) + ends, (totals[1] or 0) + (ends > 0)
-    merged = staged(found.where("kind = 2").select("part", "keys", "counts").groupBy("part").applyInArrow(_merge, "keys binary, counts binary, tops array<long>"))
-    tree = spark.sparkContext.broadcast(_compile(merged, ends, max_transitions))
+    counted = found.where("kind = 2").select("part", "keys", "counts")
+    if ends:
+        end = np.array([_end_transition()])
+        counted = counted.unionByName(spark.createDataFrame([(int(_part_of(end, buckets)[0]), _pack_keys(end), _pack(np.array([ends], np.uint64)))], "part int, keys binary, counts binary"))
+    merged = staged(counted.groupBy("part").applyInArrow(_merge, _MERGED))
+    rows = merged.select("node", "zeros", "ones", "mixed").toArrow()
+    node = [np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("node", np.uint64), ("zeros", float), ("ones", float), ("mixed", float))]
+    top = spark.sparkContext.broadcast(compile_top(*node))
+    headers = sent.where("bucket = -1").select("batch", "words", "a", "b", "c", "ids")
+    models = merged.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("batch"), "keys", "counts")
+    asked = models.unionByName(headers.select("batch", "c").mapInArrow(_ask(buckets), _ASKED))
+    told = asked.repartition(buckets, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer(top), "batch long, kind int, part int, keys binary")
     base_of = np.log10(n_train + 0.1 * (n_distinct + 1))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end_log = float(transition_logs(tree.value, np.array([_end_transition()]))[0])
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 offsets = np.concatenate(([0], np.cumsum(_unpack(row["a"], np.int64))))
                 b = read_batch(zstandard.decompress(row["words"]), offsets, buckets)
-                answers = [_unpack(x["keys"], np.uint64) for x in sorted(row["answers"] or [], key=lambda x: x["part"])]
+                answers = [_unpack(x["keys"], np.uint64) for x in sorted(row["answers"], key=lambda x: x["part"]) if x["kind"] == 0]
+                distinct = _unpack_keys(row["c"])
+                chance = np.full(len(distinct), np.nan)
+                by_part = {x["part"]: x["keys"] for x in row["answers"] if x["kind"] == 1}
+                for p, at in _by_part(distinct, buckets):
+                    chance[at] = _unpack(by_part[p], np.float32)
+                end_log = float(chance[np.searchsorted(distinct, _end_transition())])
                 counts = np.concatenate(answers).astype(np.int64) if answers else np.zeros(0, np.int64)
                 docs_in, of_word = len(b.sizes), b.rank[b.unit]
                 base = np.bincount(b.doc, weights=b.n * np.log10(counts + 0.1)[of_word], minlength=docs_in) + np.log10(ends + 0.1)
-                logs = np.concatenate([unit_logs(tree.value, unit_bytes(b.words, b.rank[at : at + 100_000], b.tail[at : at + 100_000])) for at in range(0, len(b.rank), 100_000)] or [np.zeros(0)])
+                logs = batch_logs(b, distinct, chance)
                 score = np.bincount(b.doc, weights=b.n * logs[b.unit], minlength=docs_in) + end_log
                 known = np.bincount(b.doc, weights=b.n * (counts > 0)[of_word], minlength=docs_in).astype(np.int64) + (ends > 0)
                 tokens = b.sizes + 1
@@ -380,34 +515,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    answers = found.where("kind = 0").groupBy(F.col("at").alias("batch")).agg(F.collect_list(F.struct("part", "keys")).alias("answers"))
-    headers = sent.where("bucket = -1").select("batch", "words", "a", "b", "ids")
+    counts_of = found.where("kind = 0").select(F.col("at").alias("batch"), "kind", "part", "keys")
+    answers = counts_of.unionByName(told).groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "keys")).alias("answers"))
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return headers.join(answers, "batch", "left").mapInArrow(final, schema)
-
-
-def _compile(merged: DataFrame, ends: int, max_transitions: int) -> ContextTree:
-    """The driver gets at most ``max_transitions`` counts, the most frequent."""
-    tops = merged.select(F.posexplode("tops").alias("size", "n")).groupBy("size").agg(F.sum("n").alias("n")).collect()
-    held, least = 0, 1
-    for size, n in sorted(((r["size"], r["n"]) for r in tops), reverse=True):
-        held += n
-        if held > max_transitions:
-            least = 2 << size
-            break
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, n = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
-                # Rarer ones still count in their contexts of SHORT bytes.
-                k, n = _sums(np.where(n >= least, k, k & np.uint64((1 << (8 * SHORT + 8)) - 1)), n.astype(float))
-                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], ["keys", "counts"])
-
-    rows = merged.select("keys", "counts").mapInArrow(keep, "keys binary, counts binary").toArrow()
-    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64).astype(float)
-    keys, counts = _sums(keys, counts)
-    if ends:
-        keys, counts = np.append(keys, _end_transition()), np.append(counts, float(ends))
-    return compile_tree(keys, counts)
+    return headers.join(answers, "batch").mapInArrow(final, schema)

@@ -318,6 +318,31 @@ def test_scores(docs, empty):
     assert ctw.score_texts(empty, held).count() == 0
 
 
+def test_every_transition_counts(spark):
+    """Scores by all of 700,000 distinct transitions, dealt over parts, are those of one tree of all of them."""
+    rng = np.random.default_rng(12)
+    letters = rng.integers(97, 107, (70_000, 12)).astype(np.uint8)  # few letters: four bytes of context recur, six hardly
+    words = [w.tobytes().decode() for w in letters]
+    rows = [(i, " ".join(words[350 * i : 350 * i + 350])) for i in range(200)]
+    rows += [(1000 + i, " ".join(words[350 * i : 350 * i + 20] + ["unseen", "ünseen"])) for i in range(10)] + [(2000, None), (2001, "")]
+
+    def spelled(text):
+        before = "\n\n"
+        for w in (text or "").split():
+            data = f"{before} {w} ".encode()
+            for k in range(3, len(data)):
+                yield int.from_bytes(data[max(0, k - 6) : k + 1], "big")
+            before = ("\n" + w)[-2:]
+        yield 0x200A
+
+    counts = collections.Counter(k for i, t in rows if i < 1000 for k in spelled(t))
+    assert len(counts) > 600_000
+    tree = ctw.compile_tree(np.array(list(counts), np.uint64), np.array(list(counts.values()), float))
+    out = by_id(ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") >= 1000))
+    for i, t in rows:
+        assert out[i]["score"] == pytest.approx(ctw.transition_logs(tree, np.array(list(spelled(t)), np.uint64)).sum(), rel=1e-5)
+
+
 def test_tree_is_a_distribution():
     keys, unit = ctw.unit_transitions(ctw.unit_bytes([b"the", b"then", b"and"], np.array([0, 1, 2, 0]), np.array([0x0A0A, 0x6161, 0x6162, 0x6163])))
     unique, n = np.unique(keys, return_counts=True)
