@@ -3,7 +3,8 @@
 In each pass every vector gets a string of sign bits of random projections,
 vectors are put in lexicographic order of those strings, and each is compared
 with its next ``WINDOW`` neighbours.  Vectors at a small angle share long
-prefixes and so stand near each other in most passes.  Verified pairs of all
+prefixes and so stand near each other in most passes.  The number of passes
+follows from the counted size of the largest label.  Verified pairs of all
 passes are united to components; within a component the links of each vector
 are then counted exactly, block against block.
 """
@@ -14,22 +15,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, partitions, staged
 
-#: A pair at cosine 0.93 agrees on a sign with probability 0.88.  Among 5,000 vectors of a label a window of 32 needs
-#: agreement on 7 or 8 bits: 0.38 a pass, so 24 passes miss one such pair in 100,000; at 0.97 fewer than one in 10**8.
+#: The least number of passes.  See :func:`passes_for`.
 PASSES = 24
 WINDOW = 32
+#: Share of pairs at the threshold that all passes together may miss, among vectors of a label in all directions alike.
+MISS = 1e-5
 BITS = 63
 BLOCK = 1024
 SEED = 7331
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng((SEED, dim)).standard_normal((dim, PASSES * BITS))
+def passes_for(largest: int, threshold: float, window: int) -> int:
+    """Passes that miss a pair at the threshold with probability ``MISS`` among the ``largest`` vectors of a label.
+
+    Such a pair agrees on a sign with probability 1 - angle / pi, and stands
+    within the window if it agrees on as many bits as leave ``window`` vectors
+    to a prefix.  At 0.93 that is 0.88 a bit: 7 or 8 bits among 5,000 vectors
+    (24 passes), 15 among a million (72), 20 among 40 million (147).
+    """
+    bits = max(0.0, np.log2(max(largest, 1) / window))
+    agree = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return PASSES if agree >= 1 else max(PASSES, int(np.ceil(np.log(MISS) / np.log1p(-agree))))
+
+
+def _planes(dim: int, passes: int) -> np.ndarray:
+    return np.random.default_rng((SEED, dim)).standard_normal((dim, passes * BITS))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -51,23 +67,30 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "v"])
 
 
-def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    planes: dict[int, np.ndarray] = {}
-    for batch in batches:
-        lengths = np.array([len(v) for v in batch.column(2).to_pylist()]) // 8
-        for dim in np.unique(lengths):
-            rows = pa.array(lengths == dim)
-            ids, label, raw = (c.filter(rows) for c in batch.columns[:3])
-            x = _vectors(raw).reshape(-1, dim)
-            if dim not in planes:
-                planes[int(dim)] = _planes(int(dim))
-            for at in range(0, len(x), 512):
-                part = x[at : at + 512]
-                signs = (part @ planes[int(dim)] > 0).reshape(len(part), PASSES, BITS)
-                code = (signs.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(2)
-                for p in range(PASSES):
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), label.slice(at, n), pa.array(np.full(n, dim, np.int32)), pa.array(code[:, p]), ids.slice(at, n), raw.slice(at, n)], ["pass", "label", "dim", "code", "id", "v"])
+def _passes(passes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lengths = np.array([len(v) for v in batch.column(2).to_pylist()]) // 8
+            for dim in np.unique(lengths):
+                rows = pa.array(lengths == dim)
+                ids, label, raw = (c.filter(rows) for c in batch.columns[:3])
+                x = _vectors(raw).reshape(-1, dim)
+                if dim not in planes:
+                    planes[int(dim)] = _planes(int(dim), passes)
+                for at in range(0, len(x), 512):
+                    part = x[at : at + 512]
+                    signs = (part @ planes[int(dim)] > 0).reshape(len(part), passes, BITS)
+                    code = (signs.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(2)
+                    for p in range(passes):
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), label.slice(at, n), pa.array(np.full(n, dim, np.int32)), pa.array(code[:, p]), ids.slice(at, n), raw.slice(at, n)], _DEALT)
+
+    return run
+
+
+_DEALT = ["pass", "label", "dim", "code", "id", "v"]
+_FOUND = "a long, b long, task int, size long, pass int, label long, dim int, code long, id long, v binary"
 
 
 def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,34 +108,89 @@ def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return ids[label[moved]], ids[moved]
 
 
-def _windows(threshold: float):
+def _near(batch: pa.RecordBatch, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows in order, each compared with the next ``window`` ones."""
+    ids = batch.column(4).to_numpy()
+    key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+    a_all, b_all = [], []
+    for dim in np.unique(key[:, 2]):
+        rows = np.flatnonzero(key[:, 2] == dim)
+        x = _vectors(batch.column(5).take(pa.array(rows))).reshape(-1, dim)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for lag in range(1, min(window, len(rows) - 1) + 1):
+            near = np.einsum("ij,ij->i", x[:-lag], x[lag:]) >= threshold
+            near &= (key[rows[:-lag]] == key[rows[lag:]]).all(1)
+            a_all.append(rows[:-lag][near])
+            b_all.append(rows[lag:][near])
+    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a_all, b_all))
+    return _stars(ids, a, b)
+
+
+def _windows(threshold: float, window: int):
+    """Links within a task; its size; and its first and last ``window`` rows, which its neighbours have to meet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        names = [c.split()[0] for c in _FOUND.split(", ")]
         held: pa.RecordBatch | None = None
+        size = 0
+
+        def border(rows: pa.RecordBatch) -> pa.RecordBatch:
+            n = rows.num_rows
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, task, np.int32)), pa.nulls(n, pa.int64()), *rows.columns], names)
+
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
+                if size < window:
+                    yield border(batch.slice(0, window - size))
+                size += batch.num_rows
                 if held is not None:
                     batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-                held = batch.slice(max(0, batch.num_rows - WINDOW))
-                ids = batch.column(4).to_numpy()
-                key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
-                a_all, b_all = [], []
-                for dim in np.unique(key[:, 2]):
-                    rows = np.flatnonzero(key[:, 2] == dim)
-                    x = _vectors(batch.column(5).take(pa.array(rows))).reshape(-1, dim)
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    for lag in range(1, min(WINDOW, len(rows) - 1) + 1):
-                        near = np.einsum("ij,ij->i", x[:-lag], x[lag:]) >= threshold
-                        near &= (key[rows[:-lag]] == key[rows[lag:]]).all(1)
-                        a_all.append(rows[:-lag][near])
-                        b_all.append(rows[lag:][near])
-                a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a_all, b_all))
-                root, other = _stars(ids, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(other)], ["a", "b"])
+                held = batch.slice(max(0, batch.num_rows - window))
+                root, other = _near(batch, threshold, window)
+                yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(other), *(pa.nulls(len(root), t) for t in (pa.int32(), pa.int64(), *batch.schema.types))], names)
+        if size > window:  # the last rows, less those that are among the first
+            yield border(held.slice(max(0, held.num_rows - (size - window))))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([task], pa.int32()), pa.array([size]), *(pa.nulls(1, t) for t in held.schema.types)], names)
 
     return run
 
 
+def _seam(threshold: float, window: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.select(_DEALT).combine_chunks()
+        table = table.sort_by([(c, "ascending") for c in _DEALT[:5]]).combine_chunks()
+        root, other = _near(table.to_batches()[0], threshold, window)
+        return pa.Table.from_arrays([pa.array(root), pa.array(other)], ["a", "b"])
+
+    return run
+
+
+def _window_links(dealt: DataFrame, threshold: float, window: int) -> DataFrame:
+    """Links ``(a, b)`` of rows that are dealt to tasks by range and sorted, over the borders of tasks too."""
+    spark = dealt.sparkSession
+    found = staged(dealt.select(*_DEALT).mapInArrow(_windows(threshold, window), _FOUND))
+    links = found.where("a is not null").select("a", "b")
+    # One pair of numbers a task.  Rows at a task's end meet the tasks after it until these have a window of rows.
+    sizes = sorted((r["task"], r["size"]) for r in found.where("size is not null").select("task", "size").collect())
+    seams = []
+    for i in range(len(sizes) - 1):
+        seams.append((sizes[i][0], i))
+        after = 0
+        for task, size in sizes[i + 1 :]:
+            seams.append((task, i))
+            after += size
+            if after >= window:
+                break
+    if not seams:
+        return links.distinct()
+    borders = found.where("id is not null").join(F.broadcast(spark.createDataFrame(seams, "task int, seam int")), "task")
+    over = borders.select("seam", *_DEALT).groupBy("seam").applyInArrow(_seam(threshold, window), "a long, b long")
+    return links.unionByName(over).distinct()
+
+
 def _count(threshold: float):
     """Links of the left vectors of a tile to its right ones, copies counted as often as they occur."""
 
@@ -144,7 +222,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     Equal vectors are merged first, so copies are never paired with each
     other.  A found pair always has the cosine asked for; a pair is missed
-    only if no chain of found pairs joins its ends (see ``PASSES``).  Counting
+    only if no chain of found pairs joins its ends (see :func:`passes_for`).  Counting
     is exact within a component and splits it into blocks of ``BLOCK``, so no
     task holds more than two of them.
     """
@@ -152,9 +230,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     usable = staged(slim.where("id is not null and label is not null and e is not null").mapInArrow(_encode, "id long, label long, v binary").where("v is not null"))
     reps = staged(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     n = partitions(vectors.sparkSession)
-    dealt = reps.select(F.col("rep").alias("id"), "label", "v").mapInArrow(_passes, "pass int, label long, dim int, code long, id long, v binary")
+    largest = reps.groupBy("label", F.length("v").alias("bytes")).count().agg(F.max("count")).first()[0] or 0
+    passes = passes_for(largest, threshold, WINDOW)
+    dealt = reps.select(F.col("rep").alias("id"), "label", "v").mapInArrow(_passes(passes), "pass int, label long, dim int, code long, id long, v binary")
     dealt = dealt.repartitionByRange(n, "pass", "label", "dim", "code", "id").sortWithinPartitions("pass", "label", "dim", "code", "id")
-    links = dealt.mapInArrow(_windows(threshold), "a long, b long").distinct()
+    links = _window_links(dealt, threshold, WINDOW)
     found = connected(links)
     members = reps.join(found.withColumnRenamed("v", "rep"), "rep").select(F.col("rep").alias("id"), "v", "copies", "component")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -98,6 +98,30 @@ def test_large_vector_group(spark):
     assert {(r["n_links"], r["component_id"]) for r in out.collect()} == {(len(rows) - 1, 0)}
 
 
+def test_pairs_of_a_large_label(spark, monkeypatch):
+    """Isolated pairs just above the threshold among many more vectors of a label than a window holds."""
+    monkeypatch.setattr(embdedup, "WINDOW", 1)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(20_000, 16))
+    u = x[:600] / np.linalg.norm(x[:600], axis=1, keepdims=True)
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(1, keepdims=True) * u
+    x[600:1200] = 0.931 * u + np.sqrt(1 - 0.931**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    out = by_id(embdedup.near_vectors(spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")))
+    missed = sum(out[i]["component_id"] != out[600 + i]["component_id"] for i in range(600))
+    assert missed == 0
+
+
+def test_windows_reach_over_tasks(spark):
+    """Pairs whose ends are in different, mostly small, tasks."""
+    rng = np.random.default_rng(22)
+    v = rng.normal(size=(9, 12))
+    rows = [(0, 1, 12, i, i, bytearray(v[i % 9].tobytes())) for i in range(18)]
+    dealt = spark.createDataFrame(rows, "pass int, label long, dim int, code long, id long, v binary").repartitionByRange(6, "code").sortWithinPartitions("code")
+    links = embdedup._window_links(dealt, 0.99, 9).collect()
+    assert {(r["a"], r["b"]) for r in links} == {(i, i + 9) for i in range(9)}
+
+
 # Packing
 
 
