@@ -1,6 +1,6 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
-Documents are sets of word shingles.  In each of ``TREES`` independent trees a
+Documents are sets of word shingles.  In each of some independent trees a
 document branches to the node named by its least shingle under that level's
 hash (two sets of Jaccard similarity s choose the same branch with probability
 s); nodes with many documents branch again, small ones are compared
@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import connected, if_small, lowered, mix64, run_hashes, staged, tasks_for, text_slices, word_bounds
 
-#: 10 trees of up to 6 levels; at similarity 0.8 a pair is missed by all trees with probability 0.2**10 at one level
-#: and 0.01 at two, which only pairs with very common shingles need.
-TREES = 10
+#: Share of pairs at the threshold that all trees together may miss, where nodes stay large down to the last level.
+MISS = 1e-4
 LEVELS = 6
-SIGNATURE = TREES * LEVELS
 SMALL_NODE = 48
 #: Documents of a proposed group that one task compares on full sets.
 BLOCK = 512
@@ -32,6 +30,12 @@ LANDMARKS = 16
 _SLACK = 0.2
 
 
+def trees_for(threshold: float) -> int:
+    """Trees of which at least one keeps a pair at the threshold together over all levels, but for ``MISS``: 31 at 0.8."""
+    whole = threshold**LEVELS
+    return 10 if whole >= 1 else max(10, int(np.ceil(np.log(MISS) / np.log1p(-whole))))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text of a slice, ascending, and where each text's begin."""
     data = lowered(data)
@@ -57,42 +61,42 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return value, np.searchsorted(row, np.arange(n + 1))
 
 
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(90210).integers(1, 2**63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+def _multipliers(size: int) -> np.ndarray:
+    return np.random.default_rng(90210).integers(1, 2**63, size).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signatures(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Minwise hashes of each set, 32 bits each; all ones for an empty set."""
+def signatures(values: np.ndarray, cut: np.ndarray, size: int) -> np.ndarray:
+    """``size`` minwise hashes of each set, 32 bits each; all ones for an empty set."""
     n = len(cut) - 1
-    out = np.full((n, SIGNATURE), 0xFFFFFFFF, np.uint32)
+    out = np.full((n, size), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(cut))
     if len(full):
-        for j, m in enumerate(_multipliers()):
+        for j, m in enumerate(_multipliers(size)):
             mixed = ((values ^ (values >> np.uint64(29))) * m) >> np.uint64(32)
             out[full, j] = np.minimum.reduceat(mixed.astype(np.uint32), cut[full])
     return out
 
 
-def _summaries(words: int):
+def _summaries(words: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1), 2 << 20):
                 values, cut = shingle_sets(data, offsets, words)
-                sig = signatures(values, cut)
+                sig = signatures(values, cut, trees * LEVELS)
                 # 128 bits that stand for the whole set.
                 zero = np.zeros(1, np.uint64)
                 sums = (np.concatenate((zero, np.cumsum(mix64(values + np.uint64(k))))) for k in (11, 23))
                 digest = [(x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in sums]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut).astype(np.int64)), *map(pa.array, digest), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    ["id", "n", "d1", "d2", "sig"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut).astype(np.int64)), *map(pa.array, digest), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())],
+                    ["id", "n", "d1", "d2", "sig", "marks"],
                 )
 
     return run
 
 
 def _node_links(threshold: float):
-    """Within small nodes: all pairs by signature, given back as links that hold each group of alike ones together."""
+    """Within small nodes: all pairs by a byte of each minwise hash, as links that hold each group of alike ones together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +104,7 @@ def _node_links(threshold: float):
             b_out: list[int] = []
             for members in batch.column(0).to_pylist():
                 ids = np.array([m["id"] for m in members], np.int64)
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint32).reshape(len(ids), SIGNATURE)
+                sig = np.frombuffer(b"".join(m["marks"] for m in members), np.uint8).reshape(len(ids), -1)
                 order = np.argsort(ids)
                 ids, sig = ids[order], sig[order]
                 waiting = np.arange(len(ids))
@@ -118,43 +122,39 @@ def _node_links(threshold: float):
     return run
 
 
-def _propose(reps: DataFrame, threshold: float) -> DataFrame:
-    """Links ``(a, b)`` between documents that some node holds and whose signatures are alike."""
+def _propose(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
+    """Links ``(a, b)`` between documents that some small node holds and whose signatures are alike, or that the last level leaves together."""
     spark = reps.sparkSession
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
 
     def token(level: int):
         # Level l of tree t uses its own minwise hash: 4 bytes of the signature.
-        return F.substring(F.col("sig"), F.col("tree") * (4 * LEVELS) + 4 * level + 1, F.lit(4))
+        return F.substring(F.col("path"), 4 * level + 1, 4)
 
-    rows = reps.count() * TREES
-    at = reps.select("id", "sig", tree.alias("tree")).withColumn("node", F.xxhash64("tree", token(0)))
+    rows = reps.count() * trees
+    at = reps.select("id", "sig", "marks", tree.alias("tree"))
+    at = at.select("id", "marks", "tree", F.substring(F.col("sig"), F.col("tree") * (4 * LEVELS) + 1, F.lit(4 * LEVELS)).alias("path"))
+    at = at.withColumn("node", F.xxhash64("tree", token(0)))
     out = None
     for level in range(LEVELS):
-        last = level == LEVELS - 1
         n = tasks_for(spark, rows, 5_000)
         sizes = if_small(staged(at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").coalesce(n)))
-        # A node that is still large after all levels holds sets that agree again and again: it is dealt to runs
-        # of its members, each with the node's least member, so it stays together without being paired in full.
-        small = sizes.where(f"size <= {SMALL_NODE}") if not last else sizes
-        there = at.join(small, "node")
-        if last:
-            lead = there.groupBy("node").agg(F.min(F.struct("id", "sig")).alias("lead"))
-            run_no = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SMALL_NODE)).cast("int")
-            there = there.withColumn("run", run_no)
-            groups = there.groupBy("node", "run").agg(F.collect_list(F.struct("id", "sig")).alias("members")).join(lead, "node")
-            groups = groups.select(F.array_distinct(F.concat(F.array("lead"), "members")).alias("members"))
-        else:
-            groups = there.groupBy("node").agg(F.collect_list(F.struct("id", "sig")).alias("members")).select("members")
+        there = at.join(sizes.where(f"size <= {SMALL_NODE}"), "node")
+        groups = there.groupBy("node").agg(F.collect_list(F.struct("id", "marks")).alias("members")).select("members")
         links = staged(groups.coalesce(n).mapInArrow(_node_links(threshold), "a long, b long").distinct().coalesce(n))
         out = links if out is None else out.unionByName(links)
-        if last:
-            break
-        at = staged(at.join(sizes.where(f"size > {SMALL_NODE}").select("node"), "node").select("id", "sig", "tree", F.xxhash64("node", token(level + 1)).alias("node")).coalesce(n))
+        large = at.join(sizes.where(f"size > {SMALL_NODE}").select("node"), "node")
+        if level == LEVELS - 1:
+            # A node that is still large holds sets that agree again and again: all of it is proposed, with its least
+            # member, so nobody's only link is left out and nothing is paired in full; links are confirmed later.
+            lead = large.groupBy("node").agg(F.min("id").alias("a"))
+            stars = large.select("node", F.col("id").alias("b")).join(lead, "node").where("a <> b").select("a", "b").distinct()
+            return out.unionByName(staged(stars.coalesce(n)))
+        at = staged(large.select("id", "marks", "tree", "path", F.xxhash64("node", token(level + 1)).alias("node")).coalesce(n))
         rows = at.count()
         if not rows:
             break
-    return out if out is not None else spark.createDataFrame([], "a long, b long")
+    return out
 
 
 def _compare(words: int, threshold_percent: int):
@@ -215,11 +215,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     with every block.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    made = staged(slim.mapInArrow(_summaries(words), "id long, n long, d1 long, d2 long, sig binary"))
+    trees = trees_for(threshold_percent / 100)
+    made = staged(slim.mapInArrow(_summaries(words, trees), "id long, n long, d1 long, d2 long, sig binary, marks binary"))
     # A null id cannot be reached or reach: it stays a component of its own.
     full = made.where("n > 0 and id is not null")
-    reps = staged(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    proposed = connected(_propose(reps.select(F.col("rep").alias("id"), "sig"), threshold_percent / 100))
+    reps = staged(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("marks").alias("marks")))
+    proposed = connected(_propose(reps.select(F.col("rep").alias("id"), "sig", "marks"), threshold_percent / 100, trees))
     links = _confirm(slim, staged(proposed), words, threshold_percent)
     same = full.join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     found = connected(links.unionByName(same))

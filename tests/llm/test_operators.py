@@ -305,6 +305,20 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in out.items()} == {i: c for i, (_, c) in expected.items()}
 
 
+def test_documents_that_hang_on_a_group(spark):
+    """Documents just above the threshold to 100 close copies; drawn so that each of the first ten trees parts them from these."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[:i], f"y{i}", *base[i + 1 :]])) for i in range(100)]
+    for seed in (5, 177, 291):
+        w = list(base)
+        for k in np.random.default_rng(seed).choice(400, 42, replace=False):
+            w[k] = f"x{k}"
+        rows.append((1000 + seed, " ".join(w)))
+    out = by_id(chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80))
+    assert {i: r["component_id"] for i, r in out.items()} == {i: c for i, (_, c) in brute_components(rows, 1, 80).items()}
+    assert {r["component_id"] for r in out.values()} == {0}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000)]
