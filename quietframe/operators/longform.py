@@ -316,7 +316,7 @@ def fold(power: DataFrame, start: Column, step) -> DataFrame:
 def similar_bins(ratio: DataFrame, h: float, past: int, future: int, freq: int, bins: int) -> DataFrame:
     """Small-scale similarity filter: a banded self-join over frames and bins, weighted by single-bin distance.
 
-    For demonstration on small tables; whole streams go through the array form.
+    A row meets ``(past + future + 1) * (2 * freq + 1)`` others, whatever the stream's length.
     """
     near = F.explode(F.sequence(F.lit(-past), F.lit(future)))
     wide = F.explode(F.sequence(F.lit(-freq), F.lit(freq)))

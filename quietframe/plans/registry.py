@@ -441,6 +441,16 @@ def q_similar_bins(spark, d):
     return rounded(L.similar_bins(spectra(spark, d).where("frame_no < 12"), 0.02, 2, 2, 2, BINS))
 
 
+@query(
+    "q_similar_bins_full",
+    f"""WITH {_SPECTRA}, k AS (SELECT s.*, frame_no + dt AS f2, least(greatest(bin + df, 0), 63) AS b2 FROM spectra s, range(-2, 3) t(dt), range(-2, 3) f(df)),
+      j AS (SELECT k.*, o.power AS y, pow(k.power - o.power, 2) / 0.0004 AS d FROM k JOIN spectra o ON o.stream_id = k.stream_id AND o.frame_no = f2 AND o.bin = b2)
+      SELECT stream_id, frame_no, bin, round(sum(CASE WHEN d <= 4 THEN exp(-d) ELSE 0 END * y) / sum(CASE WHEN d <= 4 THEN exp(-d) ELSE 0 END), 6) AS smoothed FROM j GROUP BY ALL""",
+)
+def q_similar_bins_full(spark, d):
+    return rounded(L.similar_bins(spectra(spark, d), 0.02, 2, 2, 2, BINS))
+
+
 # Recurrences
 
 

@@ -38,6 +38,11 @@ def test_runs(spark, name):
     assert len(out) and not out.isna().any().any()
 
 
+def test_similar_bins_cover_all_frames(spark):
+    rows = registry.spectra(spark, DIR).count()
+    assert registry.queries()["q_similar_bins_full"](spark, DIR).count() == rows
+
+
 def test_partitions_do_not_matter(spark):
     a = registry.queries()["q_denoise_1d"](spark, DIR).toPandas()
     spark.conf.set("spark.sql.shuffle.partitions", "3")
