@@ -33,6 +33,10 @@ PERIOD = 4096
 CLASSES = 256
 SEED = 0x51C7A3
 _MAX_RECORDS = 64
+#: Share of pairs just alike enough that may share no band.
+MISS = 1e-4
+#: Fingerprints of a bucket that one task compares with as many others.
+BLOCK = 512
 
 
 def _hold_table() -> np.ndarray:
@@ -246,15 +250,46 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return with_following(docs, id_col, text_col, "following", run, schema)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, band_slots: int = 8) -> DataFrame:
+def band_for(least: float) -> int:
+    """The longest band of which two texts ``least`` alike share one, but for ``MISS``: 5 slots at 0.8."""
+    for slots in range(N_SLOTS, 1, -1):
+        if (1 - least**slots) ** (N_SLOTS // slots) <= MISS:
+            return slots
+    return 1
+
+
+def _tile(least: float):
+    """All pairs of a block, or of two, of a bucket, as links that hold each group of alike ones together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("rep").to_numpy()
+        prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(-1, N_SLOTS)
+        a_out: list[int] = []
+        b_out: list[int] = []
+        waiting = np.arange(len(ids))
+        while len(waiting):
+            queue, waiting = [waiting[0]], waiting[1:]
+            root = ids[queue[0]]
+            while queue and len(waiting):
+                near = likeness(prints[waiting], prints[queue.pop()]) >= least
+                a_out += [root] * int(near.sum())
+                b_out += ids[waiting[near]].tolist()
+                queue += waiting[near].tolist()
+                waiting = waiting[~near]
+        return pa.Table.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, band_slots: int | None = None) -> DataFrame:
     """Group texts whose fingerprints are at least ``least`` alike: ``(id, component)``.
 
     Equal fingerprints are merged first, so a group of copies of any size
     costs one row.  The sampled bits are cut into bands of ``band_slots``
-    slots; fingerprints that agree on a band are candidates.  In a bucket each
-    fingerprint is compared with the bucket's least one and with its neighbour
-    in fingerprint order, which links the bucket without pairing all of it;
-    verified links are joined to components.  Empty texts form one group.
+    slots (:func:`band_for`); fingerprints that agree on a band are candidates.
+    All pairs of a bucket are compared, block against block, which is quadratic
+    in a bucket; verified links are joined to components.  Empty texts form one
+    group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,20 +298,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             prints = [r.tobytes() for r in fingerprint_texts(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["id", "fp"])
 
+    band_slots = band_slots or band_for(least)
     prints = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp binary"))
     reps = prints.groupBy("fp").agg(F.min("id").alias("rep"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(N_SLOTS // band_slots - 1)), lambda b: F.struct(b.alias("no"), F.substring(F.col("fp"), b * band_slots + 1, F.lit(band_slots)).alias("bits")))
     rows = reps.select("rep", "fp", F.explode(bands).alias("band")).select("rep", "fp", F.col("band.no").alias("no"), F.col("band.bits").alias("bits"))
-    first = rows.groupBy("no", "bits").agg(F.min(F.struct("rep", "fp")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    to_pivot = rows.join(first, ["no", "bits"]).select("rep", "fp", F.col("pivot.rep").alias("other"), F.col("pivot.fp").alias("other_fp"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, N_SLOTS) for i in (1, 3))
-            keep = pa.array(likeness(a, b) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["a", "b"])
-
-    links = to_pivot.where("rep <> other").dropDuplicates(["rep", "other"]).mapInArrow(verify, "a long, b long")
+    sizes = rows.groupBy("no", "bits").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = rows.join(sizes, ["no", "bits"]).select("no", "bits", "rep", "fp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    tiles = placed.groupBy("no", "bits", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    links = tiles.applyInArrow(_tile(least), "a long, b long").distinct()
     found = connected(links).withColumnRenamed("v", "rep")
     named = prints.join(reps, "fp").join(found, "rep", "left")
     return named.select("id", F.coalesce("component", "rep").alias("component"))

@@ -210,6 +210,31 @@ def test_fingerprints(docs, empty):
     assert all(len(g) == 1 for g in by_text.values())
 
 
+def test_near_copies_with_a_shared_template(spark):
+    """Edited texts that share half of their characters, so that buckets hold many unlike ones."""
+    import random
+
+    from .conftest import prose
+
+    rng = random.Random(41)
+    template, rows = prose(rng, 50), []
+    for family in range(40):
+        own = prose(rng, 60)
+        for k in range(5):
+            w = own.split()
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(1000)}"
+            rows.append((5 * family + k, f"{template} {' '.join(w)}"))
+    prints = fingerprints.fingerprint_texts([t for _, t in rows])
+    near = np.stack([fingerprints.likeness(prints, p) >= 0.8 for p in prints])
+    expected = np.arange(len(rows))
+    while ((low := np.where(near, expected, len(rows)).min(1)) != expected).any():
+        expected = low
+    out = by_id(fingerprints.near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert 1 < len(set(expected.tolist())) < len(rows)
+    assert {i: r["component"] for i, r in out.items()} == dict(enumerate(expected.tolist()))
+
+
 def test_following_over_blocks(spark):
     rows = [(i, f"text {i} " * 5) for i in range(4000)]
     out = by_id(fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)))
