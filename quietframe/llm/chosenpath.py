@@ -4,9 +4,11 @@ Documents are sets of word shingles.  In each of some independent trees a
 document branches to the node named by its least shingle under that level's
 hash (two sets of Jaccard similarity s choose the same branch with probability
 s); nodes with many documents branch again, small ones are compared
-exhaustively.  The paths of all trees come from one minwise signature, so the
-recursion moves signatures, never texts.  Nodes propose groups of documents
-that may be linked; every link is then confirmed on the full sets.
+exhaustively.  The paths of all trees come from one minwise signature: two
+bytes a level and tree.  What moves through a tree is a document's id, its path
+in that tree and one bit of each minwise hash, to compare by; never its text.
+Nodes propose groups of documents that may be linked; every link is then
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,16 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, if_small, lowered, mix64, run_hashes, staged, tasks_for, text_slices, word_bounds
+from .common import connected, lowered, mix64, partitions, run_hashes, staged, stars, text_slices, word_bounds
 
 #: Share of pairs at the threshold that all trees together may miss, where nodes stay large down to the last level.
 MISS = 1e-4
 LEVELS = 6
+#: The first branchings are taken at once: nearly all documents have company in a node of one token.
+FIRST = 2
 SMALL_NODE = 48
+#: Nodes of more documents branch again without being gathered anywhere.
+HOT_NODE = 4096
 #: Documents of a proposed group that one task compares on full sets.
 BLOCK = 512
 LANDMARKS = 16
-_SLACK = 0.2
+#: Standard deviations that the bits of a pair at the threshold may fall short of their mean.
+_SLACK = 5
 
 
 def trees_for(threshold: float) -> int:
@@ -71,90 +78,128 @@ def signatures(values: np.ndarray, cut: np.ndarray, size: int) -> np.ndarray:
     out = np.full((n, size), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(cut))
     if len(full):
+        values = values ^ (values >> np.uint64(29))
         for j, m in enumerate(_multipliers(size)):
-            mixed = ((values ^ (values >> np.uint64(29))) * m) >> np.uint64(32)
-            out[full, j] = np.minimum.reduceat(mixed.astype(np.uint32), cut[full])
+            out[full, j] = np.minimum.reduceat(((values * m) >> np.uint64(32)).astype(np.uint32), cut[full])
     return out
 
 
 def _summaries(words: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1), 2 << 20):
+            for lo, hi, data, offsets in text_slices(batch.column(1), 1 << 20):
                 values, cut = shingle_sets(data, offsets, words)
                 sig = signatures(values, cut, trees * LEVELS)
                 # 128 bits that stand for the whole set.
                 zero = np.zeros(1, np.uint64)
                 sums = (np.concatenate((zero, np.cumsum(mix64(values + np.uint64(k))))) for k in (11, 23))
                 digest = [(x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in sums]
+                path = sig.astype(">u2")
+                marks = np.packbits((sig * np.uint32(0x9E3779B1)) >> np.uint32(31), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut).astype(np.int64)), *map(pa.array, digest), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut).astype(np.int64)), *map(pa.array, digest), pa.array([r.tobytes() for r in path], pa.binary()), pa.array([r.tobytes() for r in marks], pa.binary())],
                     ["id", "n", "d1", "d2", "sig", "marks"],
                 )
 
     return run
 
 
-def _node_links(threshold: float):
-    """Within small nodes: all pairs by a byte of each minwise hash, as links that hold each group of alike ones together."""
+_STEP = "a long, b long, node long, id long, marks binary, path binary"
+
+
+def _node_step(least: int):
+    """Rows come node by node.  Small nodes: links between those of which at most ``least`` bits differ, compared pair by
+    pair, as one link for each that has any.  Larger ones pass through."""
+    names = [c.split()[0] for c in _STEP.split(", ")]
+
+    def links(node: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+        a_all, b_all = [], []
+        for lag in range(1, SMALL_NODE):
+            at = np.flatnonzero(node[lag:] == node[:-lag])
+            if not len(at):
+                break
+            near = at[np.bitwise_count(marks[at] ^ marks[at + lag]).sum(1, dtype=np.int64) <= least]
+            a_all.append(near)
+            b_all.append(near + lag)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
+        root, other = stars(ids, a, b)
+        n = len(root)
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(other), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+
+    def passed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *rows.columns], names)
+
+    def step(rows: pa.RecordBatch, begun: bool) -> Iterator[pa.RecordBatch]:
+        """Whole nodes; ``begun``: the first one is known to be large."""
+        node = rows.column(0).to_numpy()
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        size = np.diff(np.append(first, len(node)))
+        large = size > SMALL_NODE
+        large[0] |= begun
+        of = np.repeat(large, size)
+        some = np.repeat(~large & (size > 1), size)
+        if of.any():
+            yield passed(rows.filter(pa.array(of)))
+        if some.any():
+            chosen = rows.filter(pa.array(some))
+            marks = np.frombuffer(b"".join(chosen.column(2).to_pylist()), np.uint8).reshape(chosen.num_rows, -1)
+            yield links(chosen.column(0).to_numpy(), chosen.column(1).to_numpy(), marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begun = None, False
         for batch in batches:
-            a_out: list[int] = []
-            b_out: list[int] = []
-            for members in batch.column(0).to_pylist():
-                ids = np.array([m["id"] for m in members], np.int64)
-                sig = np.frombuffer(b"".join(m["marks"] for m in members), np.uint8).reshape(len(ids), -1)
-                order = np.argsort(ids)
-                ids, sig = ids[order], sig[order]
-                waiting = np.arange(len(ids))
-                while len(waiting):
-                    queue, waiting = [waiting[0]], waiting[1:]
-                    root = ids[queue[0]]
-                    while queue and len(waiting):
-                        near = (sig[waiting] == sig[queue.pop()]).mean(1) >= threshold - _SLACK
-                        a_out += [root] * int(near.sum())
-                        b_out += ids[waiting[near]].tolist()
-                        queue += waiting[near].tolist()
-                        waiting = waiting[~near]
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            node = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
+            if cut:
+                yield from step(batch.slice(0, cut), begun)
+                begun = False
+            held = batch.slice(cut)
+            if held.num_rows > SMALL_NODE:  # known to be large: nothing of it has to wait, but for one row
+                yield passed(held.slice(1))
+                held, begun = held.slice(0, 1), True
+        if held is not None and held.num_rows:
+            yield from step(held, begun)
 
     return run
 
 
 def _propose(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
-    """Links ``(a, b)`` between documents that some small node holds and whose signatures are alike, or that the last level leaves together."""
-    spark = reps.sparkSession
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-
-    def token(level: int):
-        # Level l of tree t uses its own minwise hash: 4 bytes of the signature.
-        return F.substring(F.col("path"), 4 * level + 1, 4)
-
-    rows = reps.count() * trees
-    at = reps.select("id", "sig", "marks", tree.alias("tree"))
-    at = at.select("id", "marks", "tree", F.substring(F.col("sig"), F.col("tree") * (4 * LEVELS) + 1, F.lit(4 * LEVELS)).alias("path"))
-    at = at.withColumn("node", F.xxhash64("tree", token(0)))
+    """Links ``(a, b)`` between documents that some small node holds and whose bits are alike, or that the last level leaves together."""
+    n = partitions(reps.sparkSession)
+    bits, mean = trees * LEVELS, (1 + threshold) / 2
+    least = int(bits * (1 - mean) + _SLACK * np.sqrt(bits * mean * (1 - mean)))
+    path = F.substring(F.col("sig"), F.col("tree") * (2 * LEVELS) + 1, F.lit(2 * LEVELS))
+    at = reps.select("id", "marks", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("id", "marks", "tree", path.alias("path"))
+    at = at.select(F.xxhash64("tree", F.substring("path", 1, 2 * FIRST)).alias("node"), "id", "marks", "path")
     out = None
-    for level in range(LEVELS):
-        n = tasks_for(spark, rows, 5_000)
-        sizes = if_small(staged(at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").coalesce(n)))
-        there = at.join(sizes.where(f"size <= {SMALL_NODE}"), "node")
-        groups = there.groupBy("node").agg(F.collect_list(F.struct("id", "marks")).alias("members")).select("members")
-        links = staged(groups.coalesce(n).mapInArrow(_node_links(threshold), "a long, b long").distinct().coalesce(n))
+    for level in range(FIRST, LEVELS + 1):
+        # Counts are combined before they are shuffled; the rows of a hot node never meet in one task.
+        hot = staged(at.groupBy("node").count().where(F.col("count") > HOT_NODE).select("node", F.lit(True).alias("hot")))
+        cold, large = at, None
+        if not hot.isEmpty():
+            marked = at.join(hot, "node", "left")
+            cold, large = marked.where("hot is null").drop("hot"), marked.where("hot").drop("hot")
+        done = staged(cold.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_node_step(least), _STEP))
+        links = done.where("a is not null").select("a", "b")
         out = links if out is None else out.unionByName(links)
-        large = at.join(sizes.where(f"size > {SMALL_NODE}").select("node"), "node")
-        if level == LEVELS - 1:
+        rest = done.where("id is not null").select("node", "id", "marks", "path")
+        rest = rest if large is None else rest.unionByName(large)
+        if level == LEVELS:
             # A node that is still large holds sets that agree again and again: all of it is proposed, with its least
             # member, so nobody's only link is left out and nothing is paired in full; links are confirmed later.
-            lead = large.groupBy("node").agg(F.min("id").alias("a"))
-            stars = large.select("node", F.col("id").alias("b")).join(lead, "node").where("a <> b").select("a", "b").distinct()
-            return out.unionByName(staged(stars.coalesce(n)))
-        at = staged(large.select("id", "marks", "tree", "path", F.xxhash64("node", token(level + 1)).alias("node")).coalesce(n))
-        rows = at.count()
-        if not rows:
+            lead = rest.groupBy("node").agg(F.min("id").alias("a"))
+            links = rest.select("node", F.col("id").alias("b")).join(lead, "node").where("a <> b").select("a", "b")
+            return out.unionByName(links).distinct()
+        # Level l of tree t uses its own minwise hash: 2 bytes of the path.
+        at = staged(rest.withColumn("node", F.xxhash64("node", F.substring("path", 2 * level + 1, 2))))
+        if at.isEmpty():
             break
-    return out
+    return out.distinct()
 
 
 def _compare(words: int, threshold_percent: int):

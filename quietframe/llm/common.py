@@ -151,6 +151,21 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the pairs of places ``a`` and ``b`` connect, one for each id that has any."""
+    label = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[moved]], ids[moved]
+
+
 #: Rows of a few numbers that may be broadcast, a few MB; beyond that a join shuffles.
 SMALL_ROWS = 100_000
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, partitions, staged
+from .common import connected, partitions, staged, stars
 
 #: The least number of passes.  See :func:`passes_for`.
 PASSES = 24
@@ -93,21 +93,6 @@ _DEALT = ["pass", "label", "dim", "code", "id", "v"]
 _FOUND = "a long, b long, task int, size long, pass int, label long, dim int, code long, id long, v binary"
 
 
-def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the pairs connect, one for each vector that has any."""
-    label = np.arange(len(ids))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[moved]], ids[moved]
-
-
 def _near(batch: pa.RecordBatch, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows in order, each compared with the next ``window`` ones."""
     ids = batch.column(4).to_numpy()
@@ -123,7 +108,7 @@ def _near(batch: pa.RecordBatch, threshold: float, window: int) -> tuple[np.ndar
             a_all.append(rows[:-lag][near])
             b_all.append(rows[lag:][near])
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a_all, b_all))
-    return _stars(ids, a, b)
+    return stars(ids, a, b)
 
 
 def _windows(threshold: float, window: int):
