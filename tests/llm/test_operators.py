@@ -381,38 +381,105 @@ def test_scores(docs, empty):
     assert ctw.score_texts(empty, held).count() == 0
 
 
-def test_every_transition_counts(spark):
-    """Scores by all of 700,000 distinct transitions, dealt over parts, are those of one tree of all of them."""
-    rng = np.random.default_rng(12)
-    letters = rng.integers(97, 107, (70_000, 12)).astype(np.uint8)  # few letters: four bytes of context recur, six hardly
-    words = [w.tobytes().decode() for w in letters]
-    rows = [(i, " ".join(words[350 * i : 350 * i + 350])) for i in range(200)]
-    rows += [(1000 + i, " ".join(words[350 * i : 350 * i + 20] + ["unseen", "ünseen"])) for i in range(10)] + [(2000, None), (2001, "")]
-
-    def spelled(text):
-        before = "\n\n"
-        for w in (text or "").split():
-            data = f"{before} {w} ".encode()
-            for k in range(3, len(data)):
-                yield int.from_bytes(data[max(0, k - 6) : k + 1], "big")
-            before = ("\n" + w)[-2:]
-        yield 0x200A
-
-    counts = collections.Counter(k for i, t in rows if i < 1000 for k in spelled(t))
-    assert len(counts) > 600_000
-    tree = ctw.compile_tree(np.array(list(counts), np.uint64), np.array(list(counts.values()), float))
-    out = by_id(ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") >= 1000))
-    for i, t in rows:
-        assert out[i]["score"] == pytest.approx(ctw.transition_logs(tree, np.array(list(spelled(t)), np.uint64)).sum(), rel=1e-5)
+def spelled_out(text):
+    """(context, byte) of a text's stream, contexts with their last byte first."""
+    words = (text or "").encode().lower().split()
+    stream = b" ".join(words) + b"\n"
+    padded = b"\n" * ctw.DEPTH + stream
+    return [(padded[i : i + ctw.DEPTH][::-1], padded[i + ctw.DEPTH]) for i in range(len(stream))]
+
 
+def brute_tree(rows):
+    """Context-tree weighting as it is defined, node by node: log10 chance of a byte after a context."""
+    import functools
+    import math
 
-def test_tree_is_a_distribution():
-    keys, unit = ctw.unit_transitions(ctw.unit_bytes([b"the", b"then", b"and"], np.array([0, 1, 2, 0]), np.array([0x0A0A, 0x6161, 0x6162, 0x6163])))
-    unique, n = np.unique(keys, return_counts=True)
-    tree = ctw.compile_tree(unique, n.astype(float))
-    for context in (0x0A0A20, 0x61612074, 0x7A7A7A7A):
+    zero, one = collections.Counter(), collections.Counter()
+    for text in rows:
+        for context, byte in spelled_out(text):
+            for level in range(8):
+                decision = (1 << level) | (byte >> (8 - level))
+                for d in range(ctw.DEPTH + 1):
+                    (one if byte >> (7 - level) & 1 else zero)[context[:d], decision] += 1
+    children = collections.defaultdict(set)
+    for context, decision in {*zero, *one}:
+        if context:
+            children[context[:-1], decision].add(context)
+
+    def own(node):
+        a, b = zero[node], one[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def mixed(node):
+        if len(node[0]) == ctw.DEPTH:
+            return own(node)
+        under = sum(mixed((c, node[1])) for c in children[node])
+        return np.logaddexp(own(node), under) - math.log(2)
+
+    def chance(context, decision):
+        done, rest, estimate = 0.0, 1.0, 0.5
+        for d in range(ctw.DEPTH + 1):
+            node = (context[:d], decision)
+            if zero[node] + one[node] == 0:
+                break
+            weight = 1.0 if d == ctw.DEPTH else math.exp(own(node) - math.log(2) - mixed(node))
+            estimate = (one[node] + 0.5) / (zero[node] + one[node] + 1)
+            done, rest = done + rest * weight * estimate, rest * (1 - weight)
+        return done + rest * estimate
+
+    def log(context, byte):
+        total = 0.0
+        for level in range(8):
+            p = chance(context, (1 << level) | (byte >> (8 - level)))
+            total += math.log10(p if byte >> (7 - level) & 1 else 1 - p)
+        return total
+
+    return log
+
+
+def test_scores_are_those_of_the_whole_tree(spark, texts):
+    rows = [(i, t) for i, t in enumerate([*texts[:40], *texts[-26:], None, "one\n", "one"])]
+    log = brute_tree([t for i, t in rows if i % 4])
+    out = by_id(ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.pmod("doc_id", F.lit(4)) == 0))
+    for i, t in rows:
+        if len(t or "") < 3000:
+            assert out[i]["score"] == pytest.approx(sum(log(c, b) for c, b in spelled_out(t)), rel=1e-6, abs=1e-5)  # chances travel in steps of 3.4e-6
+
+
+def test_long_text_over_slices(monkeypatch):
+    """Transitions near the beginnings of texts and over slices are those of each text alone."""
+    texts = ["a bc", "", "d", "x " * 40, "", "", "longer words here", "é"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    stream = ctw.stream_of(data, offsets)
+    expected = [int.from_bytes(c + bytes([b]), "big") for t in texts for c, b in spelled_out(t)]
+    for size in (1 << 20, 1, 3, 7):
+        monkeypatch.setattr(ctw, "_AT_ONCE", size)
+        assert np.concatenate([k for _, k in ctw.transition_slices(stream, ctw.doc_starts(stream))]).tolist() == expected
+
+
+def test_outcomes_sum_to_one(texts):
+    """What may follow any context, the end among it, has a chance of 1 in all."""
+    counts = collections.Counter(int.from_bytes(c + bytes([b]), "big") for t in texts[:50] for c, b in spelled_out(t))
+    tree = ctw.compile_tree(np.array(list(counts), np.uint64), np.array(list(counts.values())))
+    contexts = [k >> 8 for k in list(counts)[:12]] + [0x0A0A0A0A0A0A, 0x206565656565, 0x7A7A7A7A7A7A, 0]
+    for context in contexts:
         every = np.array([(context << 8) | b for b in range(256)], np.uint64)
-        assert (10 ** ctw.transition_logs(tree, every)).sum() == pytest.approx(1, abs=1e-4)
+        assert (10 ** ctw.transition_logs(tree, every)).sum() == pytest.approx(1, abs=1e-5)
+    after = np.array([(contexts[0] << 8) | b for b in (ctw.END, ctw.BLANK)], np.uint64)
+    assert (10 ** ctw.transition_logs(tree, after) < 1).all()
+
+
+def test_words_that_share_a_bucket(spark):
+    """Many distinct words, few partitions: counts of all of them are exact."""
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, " ".join(words[i:] + words[: i % 7])) for i in range(0, 5000, 500)]
+    out = by_id(ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 0))
+    c = collections.Counter(w for i, t in rows if i for w in [*t.split(), None])
+    n, v = sum(c.values()), len(c)
+    for i, t in rows:
+        assert out[i]["base_score"] == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*t.split(), None]), rel=1e-9)
 
 
 def test_log_gamma():
