@@ -81,6 +81,18 @@ class Masking:
         return out
 
 
+def between_bands(values: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
+    """Band values to bins, straight lines between centers; a bin on a center that several bands share takes the first's."""
+    k = np.arange(bins, dtype=float)
+    right = np.searchsorted(at[1:], k, side="left") + 1  # the first center that the bin does not lie beyond
+    last = right >= len(at)
+    right = np.minimum(right, len(at) - 1)
+    left = np.where(last, right, right - 1)
+    width = at[right] - at[left]
+    t = np.clip((k - at[left]) / np.where(width > 0, width, 1), 0, 1)
+    return np.where(width > 0, values[left] * (1 - t) + values[right] * t, values[left])
+
+
 class Veto:
     """Draws over-subtraction back to 1 where noise is masked and the bin holds signal."""
 
@@ -101,6 +113,6 @@ class Veto:
         nmr = 10 * np.log10((band_sums(noise, self.ranges) + K.EPSILON) / (band_sums(threshold, self.ranges) + K.EPSILON))
         protection = np.where(self.masking.width > 0, np.clip(1 - nmr / K.VETO_RANGE_DB, 0, 1), 0)
         self.memory = a * protection + (1 - a) * self.memory
-        by_bin = np.interp(np.arange(len(x)), self.at, spectra.smooth_bands(self.memory))
+        by_bin = between_bands(spectra.smooth_bands(self.memory), self.at, len(x))
         amount = by_bin * np.minimum(self.clean / (noise + K.EPSILON), 1) * depth
         return alpha + (1 - alpha) * amount
