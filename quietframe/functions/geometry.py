@@ -73,6 +73,13 @@ class Geometry:
     def bins(self) -> int:
         return self.fft // 2 + 1
 
+    def bin_to_hz(self, k: float) -> float:
+        return k * self.rate / self.fft
+
+    def hz_to_bin(self, hz: float) -> int:
+        """The nearest bin, halves up."""
+        return int(np.floor(hz / (self.rate / self.fft) + 0.5))
+
     @property
     def copy_at(self) -> int:
         """Where a frame begins in its zero-padded transform."""

@@ -1,4 +1,4 @@
-"""Operators on long tables, one row per (stream_id, frame_no, bin): native SQL functions only.
+"""Operators on long tables, one row per (stream_id, frame_no, bin): native SQL functions, but for ordered folds.
 
 Partitions are always ``stream_id`` with a frame or a bin, so no window ever
 spans a stream, let alone the table.  Constants (bands, windows) come in as
@@ -8,7 +8,10 @@ literals or as broadcast dimension tables of fixed size.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,7 +176,8 @@ def group_alpha(x: Column, n: Column, strength: float) -> Column:
 
 
 def masking_alpha(nmr_db: Column, strength: float) -> Column:
-    return ramp(nmr_db, 0, K.SNR_HIGH_DB, 1 + (strength - 1) * 0.1, strength)
+    """Masked noise gets a tenth of the way to ``strength``; above the mask it rises from 1 to it."""
+    return F.when(nmr_db <= 0, lit(1 + (strength - 1) * 0.1)).otherwise(ramp(nmr_db, 0, K.SNR_HIGH_DB, 1, strength))
 
 
 def masking_beta(nmr_db: Column, beta: float = K.DEFAULT_BETA) -> Column:
@@ -271,12 +275,15 @@ def band_threshold(spreads: DataFrame, energies: DataFrame) -> DataFrame:
 
 def forward_masking(thresholds: DataFrame, hop_seconds: float) -> DataFrame:
     """Thresholds with what earlier frames still mask, added by a power law."""
-    w = F.least(F.col("band"), F.lit(24)) / 24
-    decay = F.exp(-hop_seconds / ((1 - w) * K.FORWARD_LOW_S + w * K.FORWARD_HIGH_S))
-    rows = thresholds.select("stream_id", F.col("band").alias("bin"), "frame_no", F.struct("threshold", decay.alias("decay")).alias("power"))
     p = K.TIME_EXPONENT
-    step = lambda state, x: F.pow(F.pow(x["threshold"], lit(p)) + F.pow(state * x["decay"], lit(p)), lit(1 / p))
-    return fold(rows, lit(0), step).select("stream_id", "frame_no", F.col("bin").alias("band"), F.col("state").alias("threshold"))
+
+    def step(state, x, band):
+        w = np.minimum(band, 24) / 24
+        held = (x**p + (state * np.exp(-hop_seconds / ((1 - w) * K.FORWARD_LOW_S + w * K.FORWARD_HIGH_S))) ** p) ** (1 / p)
+        return held, held
+
+    rows = thresholds.select("stream_id", F.col("band").alias("bin"), "frame_no", F.col("threshold").alias("power"))
+    return fold(rows, 0.0, step).select("stream_id", "frame_no", F.col("bin").alias("band"), F.col("state").alias("threshold"))
 
 
 def no_suppression() -> tuple[Column, Column]:
@@ -302,15 +309,37 @@ def interpolate_bands(frame_bands: DataFrame, ranges: list[tuple[int, int]], bin
 # Ordered folds
 
 
-def fold(power: DataFrame, start: Column, step) -> DataFrame:
-    """Recurrence over the frames of each (stream, bin): ``step(state, x)`` from ``start``.
+def fold(power: DataFrame, start: float, step) -> DataFrame:
+    """Recurrence over the frames of each (stream, bin): ``(stream_id, bin, frame_no, state)``.
 
-    A bin's frames are gathered in order and folded in the engine; state is
-    any column, output its value after each frame.
+    ``step(state, x, bin)`` takes arrays, an element for each history, and
+    returns the next state and the output; ``start`` is every history's first
+    state.  A history is gathered in order; all histories of a batch advance
+    together, so the work is linear in frames and no loop runs over bins.
     """
-    ordered = power.groupBy("stream_id", "bin").agg(F.array_sort(F.collect_list(F.struct("frame_no", "power"))).alias("xs"))
-    history = F.aggregate("xs", F.array(F.struct(F.lit(-1).cast("long").alias("frame_no"), start.alias("state"))), lambda acc, x: F.concat(acc, F.array(F.struct(x["frame_no"].cast("long").alias("frame_no"), step(F.element_at(acc, -1)["state"], x["power"]).alias("state")))))
-    return ordered.select("stream_id", "bin", F.explode(F.slice(history, F.lit(2), F.size("xs"))).alias("h")).select("stream_id", "bin", "h.frame_no", "h.state")
+    ordered = power.groupBy("stream_id", "bin").agg(F.array_sort(F.collect_list(F.struct("frame_no", F.col("power").cast("double").alias("power")))).alias("xs"))
+    slim = ordered.select("stream_id", F.col("bin").cast("long").alias("bin"), F.col("xs.frame_no").cast("array<long>").alias("frames"), F.col("xs.power").alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, bins = batch.column(3), batch.column(1).to_numpy()
+            if not batch.num_rows:
+                continue
+            x = lists.flatten().to_numpy(zero_copy_only=False)
+            cut = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            order = np.argsort(cut[:-1] - cut[1:], kind="stable")  # the longest first
+            begin, size, bins = cut[:-1][order], np.diff(cut)[order], bins[order]
+            state, out = np.full(len(order), start, float), np.empty(len(x))
+            for t in range(int(size[0])):
+                n = int(np.searchsorted(-size, -t, side="left"))
+                state = state[:n]
+                state, out[begin[:n] + t] = step(state, x[begin[:n] + t], bins[:n])
+            held = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], held], ["stream_id", "bin", "frames", "state"])
+
+    walked = slim.mapInArrow(run, "stream_id long, bin long, frames array<long>, state array<double>")
+    each = walked.select("stream_id", "bin", F.explode(F.arrays_zip("frames", "state")).alias("h"))
+    return each.select("stream_id", "bin", F.col("h.frames").alias("frame_no"), F.col("h.state").alias("state"))
 
 
 def similar_bins(ratio: DataFrame, h: float, past: int, future: int, freq: int, bins: int) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
+from ..functions import geometry as G
+from ..functions import spectra as S
 from ..functions.bands import bands
 from ..functions.geometry import Parameters
 from ..operators import longform as L
@@ -136,8 +138,16 @@ def q_windows(spark, d):
     "WITH w AS (SELECT k, 0.5 - 0.5 * cos(2 * pi() * k / 882) AS w FROM range(882) r(k)) SELECT round(sum(w * w) / 220, 6) AS scale, round(sum(w * w) * 1682 / 220, 4) AS scale_unnormalised FROM w",
 )
 def q_window_scale(spark, d):
-    w = spark.range(882).select(L.window_value("hann", F.col("id"), 882).alias("w"))
-    return w.agg(F.round(F.sum(F.col("w") * F.col("w")) / 220, 6).alias("scale"), F.round(F.sum(F.col("w") * F.col("w")) * 1682 / 220, 4).alias("scale_unnormalised"))
+    """The scale of the library for a frame of 20 ms at 44.1 kHz; without the inverse transform's own, it is as many times larger as that has points."""
+
+    def run(batches):
+        g = G.geometry(44100, 20)
+        w = S.window(G.Window.HANN, g.frame)
+        scale = S.scale_factor(w, w, g)
+        for pdf in batches:
+            yield pd.DataFrame({"scale": round(scale, 6), "scale_unnormalised": round(scale * g.fft, 4)}, index=pdf.index)
+
+    return spark.range(1).mapInPandas(run, "scale double, scale_unnormalised double")
 
 
 @query(
@@ -145,7 +155,8 @@ def q_window_scale(spark, d):
     f"""WITH {_SIGNAL}, parts AS (SELECT stream_id, frame_no, b AS bin, sum(amp * {_HANN} * cos(2 * pi() * b * k / 16)) AS re, sum(-amp * {_HANN} * sin(2 * pi() * b * k / 16)) AS im
         FROM members, range(9) r(b) GROUP BY ALL)
       SELECT stream_id, frame_no, bin, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, round(re * re + im * im, 3) AS power, round(sqrt(re * re + im * im), 5) AS magnitude,
-        CASE WHEN bin IN (0, 8) OR re * re + im * im < 1 THEN 0.0 ELSE round(cos(atan2(im, re)), 4) + 0.0 END AS phase_cos FROM parts""",
+        CASE WHEN bin IN (0, 8) OR re * re + im * im < 1 THEN 0.0 ELSE round(cos(atan2(im, re)), 4) + 0.0 END AS phase_cos,
+        CASE WHEN bin IN (0, 8) OR re * re + im * im < 1 THEN 0.0 ELSE round(sin(atan2(im, re)), 4) + 0.0 END AS phase_sin FROM parts""",
 )
 def q_dft_power(spark, d):
     """Windowed frames to spectra in one Arrow pass; power, magnitude and phase of each bin."""
@@ -161,8 +172,8 @@ def q_dft_power(spark, d):
     z = held.select("stream_id", "frame_no", transform(samples).alias("z"))
     long = z.select("stream_id", "frame_no", F.posexplode(F.arrays_zip("z.re", "z.im")).alias("bin", "c")).select("stream_id", "frame_no", F.col("bin").cast("long").alias("bin"), F.col("c.re").alias("re"), F.col("c.im").alias("im"))
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    phase = F.when(F.col("bin").isin(0, FRAME // 2) | (power < 1), F.lit(0.0)).otherwise(F.round(F.cos(F.atan2("im", "re")), 4) + 0.0)
-    return long.select("stream_id", "frame_no", "bin", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"), F.round(power, 3).alias("power"), F.round(F.hypot("re", "im"), 5).alias("magnitude"), phase.alias("phase_cos"))
+    phase = lambda f: F.when(F.col("bin").isin(0, FRAME // 2) | (power < 1), F.lit(0.0)).otherwise(F.round(f(F.atan2("im", "re")), 4) + 0.0)
+    return long.select("stream_id", "frame_no", "bin", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"), F.round(power, 3).alias("power"), F.round(F.hypot("re", "im"), 5).alias("magnitude"), phase(F.cos).alias("phase_cos"), phase(F.sin).alias("phase_sin"))
 
 
 @query(
@@ -171,16 +182,25 @@ def q_dft_power(spark, d):
        round(x * 44100 / 1682.0, 6) AS bin_hz, floor(x * 100 / (44100 / 1682.0) + 0.5)::BIGINT AS hz_bin FROM range(1, 101) r(x)""",
 )
 def q_scalars(spark, d):
-    x = F.col("x")
-    return spark.range(1, 101).select(F.col("id").alias("x")).select(
-        "x",
-        (x + x % 2).alias("next_even"),
-        F.when(x <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(x)))).cast("long").alias("next_pow2"),
-        F.round(F.pow(F.lit(10.0), -x / 20), 8).alias("gain"),
-        F.round(1 - F.exp(-3 * x / 100), 8).alias("log_like"),
-        F.round(x * 44100 / 1682, 6).alias("bin_hz"),
-        F.floor(x * 100 / (44100 / 1682) + 0.5).alias("hz_bin"),
-    )
+    """The scalar functions of the library at 1 to 100."""
+
+    def run(batches):
+        for pdf in batches:
+            x = pdf["id"].tolist()
+            g = G.Geometry(44100, 882, 220, 1682)
+            yield pd.DataFrame(
+                {
+                    "x": x,
+                    "next_even": [G.next_even(v) for v in x],
+                    "next_pow2": [G.next_power_of_two(v) for v in x],
+                    "gain": [round(G.db_to_gain(-v), 8) for v in x],
+                    "log_like": [round(G.log_like(v / 100), 8) for v in x],
+                    "bin_hz": [round(g.bin_to_hz(v), 6) for v in x],
+                    "hz_bin": [g.hz_to_bin(v * 100) for v in x],
+                }
+            )
+
+    return spark.range(1, 101).mapInPandas(run, "x long, next_even long, next_pow2 long, gain double, log_like double, bin_hz double, hz_bin long")
 
 
 # Aggregates and profiles
@@ -209,6 +229,21 @@ def q_profile_modes(spark, d):
     return rounded(L.learn_profiles(spectra(spark, d)))
 
 
+@query(
+    "q_profile_store",
+    f"""WITH {_LEARNED}, modes AS (SELECT *, unnest([1, 2, 3, 4]) AS mode FROM learned JOIN medians USING (stream_id, bin))
+      SELECT stream_id::VARCHAR AS profile_id, mode::INTEGER AS mode, block_count::INTEGER AS block_count, mode <> 1 OR block_count > 5 AS available, bin::INTEGER AS bin,
+        round((CASE mode WHEN 1 THEN mean WHEN 2 THEN median WHEN 3 THEN max ELSE min END)::FLOAT::DOUBLE, 4) AS value FROM modes""",
+)
+def q_profile_store(spark, d):
+    """Learned profiles as rows of the store, one value a row."""
+    from ..sources import profiles
+
+    rows = profiles.from_learned(L.learn_profiles(spectra(spark, d)))
+    long = rows.select("profile_id", "mode", "block_count", "available", F.posexplode("profile").alias("bin", "v"))
+    return long.select("profile_id", "mode", "block_count", "available", "bin", F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
 @query(
     "q_morph",
     f"""WITH {_LEARNED} SELECT stream_id, bin, round(greatest(mean * 0.5 + max * 0.5, min), 6) AS towards_max, round(greatest(mean * 0.5 + median * 0.5, min), 6) AS towards_median
@@ -378,7 +413,7 @@ def q_band_snr(spark, d):
     return rounded(s.select("stream_id", "frame_no", "band", L.group_alpha(F.col("x"), F.col("n"), 4.0).alias("alpha")))
 
 
-@query("q_masking_alpha", f"WITH {_NOISE} SELECT stream_id, frame_no, bin, round({_ramp('(10 * log10((noise + 1e-12) / (power + 1e-12)))', 0.0, 20.0, 1.3, 4.0)}, 6) AS alpha, round({_ramp('(10 * log10((noise + 1e-12) / (power + 1e-12)))', 0.0, 20.0, 0.0, 0.01)}, 8) AS beta FROM noisy")
+@query("q_masking_alpha", f"WITH {_NOISE} SELECT stream_id, frame_no, bin, round(CASE WHEN noise <= power THEN 1.3 ELSE {_ramp('(10 * log10((noise + 1e-12) / (power + 1e-12)))', 0.0, 20.0, 1.0, 4.0)} END, 6) AS alpha, round({_ramp('(10 * log10((noise + 1e-12) / (power + 1e-12)))', 0.0, 20.0, 0.0, 0.01)}, 8) AS beta FROM noisy")
 def q_masking_alpha(spark, d):
     """Noise-to-mask ratio to over- and under-subtraction, power standing in for the mask."""
     s = with_noise(spark, d).withColumn("nmr", 10 * F.log10((F.col("noise") + K.EPSILON) / (F.col("power") + K.EPSILON)))
@@ -433,21 +468,11 @@ def q_nlm_snr(spark, d):
 
 @query(
     "q_similar_bins",
-    f"""WITH {_SPECTRA}, k AS (SELECT s.*, frame_no + dt AS f2, least(greatest(bin + df, 0), 63) AS b2 FROM spectra s, range(-2, 3) t(dt), range(-2, 3) f(df) WHERE frame_no < 12),
-      j AS (SELECT k.*, o.power AS y, pow(k.power - o.power, 2) / 0.0004 AS d FROM k JOIN spectra o ON o.stream_id = k.stream_id AND o.frame_no = f2 AND o.bin = b2 AND o.frame_no < 12)
-      SELECT stream_id, frame_no, bin, round(sum(CASE WHEN d <= 4 THEN exp(-d) ELSE 0 END * y) / sum(CASE WHEN d <= 4 THEN exp(-d) ELSE 0 END), 6) AS smoothed FROM j GROUP BY ALL""",
-)
-def q_similar_bins(spark, d):
-    return rounded(L.similar_bins(spectra(spark, d).where("frame_no < 12"), 0.02, 2, 2, 2, BINS))
-
-
-@query(
-    "q_similar_bins_full",
     f"""WITH {_SPECTRA}, k AS (SELECT s.*, frame_no + dt AS f2, least(greatest(bin + df, 0), 63) AS b2 FROM spectra s, range(-2, 3) t(dt), range(-2, 3) f(df)),
       j AS (SELECT k.*, o.power AS y, pow(k.power - o.power, 2) / 0.0004 AS d FROM k JOIN spectra o ON o.stream_id = k.stream_id AND o.frame_no = f2 AND o.bin = b2)
       SELECT stream_id, frame_no, bin, round(sum(CASE WHEN d <= 4 THEN exp(-d) ELSE 0 END * y) / sum(CASE WHEN d <= 4 THEN exp(-d) ELSE 0 END), 6) AS smoothed FROM j GROUP BY ALL""",
 )
-def q_similar_bins_full(spark, d):
+def q_similar_bins(spark, d):
     return rounded(L.similar_bins(spectra(spark, d), 0.02, 2, 2, 2, BINS))
 
 
@@ -463,13 +488,13 @@ def _recurrence(init: str, step: str, columns: str = "y") -> str:
 
 @query("q_ema", _recurrence("0.5 * power AS y", "0.5 * s.power + 0.5 * w.y", "round(y, 6) AS y"))
 def q_ema(spark, d):
-    f = L.fold(spectra(spark, d), F.lit(0.0), lambda m, x: 0.5 * x + 0.5 * m)
+    f = L.fold(spectra(spark, d), 0.0, lambda m, x, _: (0.5 * x + 0.5 * m,) * 2)
     return f.select(*KEYS, F.round("state", 6).alias("y"))
 
 
 @query("q_rise_smooth", _recurrence("CASE WHEN power > 0 THEN 0.3 * power ELSE power END AS y", "CASE WHEN s.power > w.y THEN 0.7 * w.y + 0.3 * s.power ELSE s.power END", "round(y, 6) AS y"))
 def q_rise_smooth(spark, d):
-    f = L.fold(spectra(spark, d), F.lit(0.0), lambda m, x: F.when(x > m, 0.7 * m + 0.3 * x).otherwise(x))
+    f = L.fold(spectra(spark, d), 0.0, lambda m, x, _: (np.where(x > m, 0.7 * m + 0.3 * x, x),) * 2)
     return f.select(*KEYS, F.round("state", 6).alias("y"))
 
 
@@ -485,15 +510,14 @@ def q_rise_smooth(spark, d):
 def q_transient(spark, d):
     """Onset weight of every bin against its slow average (bins standing in for bands)."""
 
-    def step(state, x):
-        ema = F.coalesce(state["ema"], x)
-        ratio = x / (ema + 1e-9)
-        weight = F.when(x < K.ONSET_ENERGY, F.lit(0.0)).otherwise(F.least(F.greatest((ratio - 1) / K.ONSET_SENSITIVITY, F.lit(0.0)), F.lit(1.0)))
-        a = F.when(weight > 0, F.lit(K.ONSET_SMOOTHING / 2)).otherwise(F.lit(K.ONSET_SMOOTHING))
-        return F.struct((x * (1 - a) + ema * a).alias("ema"), weight.alias("weight"))
+    def step(ema, x, _):
+        ema = np.where(np.isnan(ema), x, ema)
+        weight = np.where(x < K.ONSET_ENERGY, 0.0, np.clip((x / (ema + 1e-9) - 1) / K.ONSET_SENSITIVITY, 0, 1))
+        a = np.where(weight > 0, K.ONSET_SMOOTHING / 2, K.ONSET_SMOOTHING)
+        return x * (1 - a) + ema * a, weight
 
-    f = L.fold(spectra(spark, d), F.struct(F.lit(None).cast("double").alias("ema"), F.lit(0.0).alias("weight")), step)
-    return f.select(*KEYS, F.round("state.weight", 5).alias("weight"))
+    f = L.fold(spectra(spark, d), float("nan"), step)
+    return f.select(*KEYS, F.round("state", 5).alias("weight"))
 
 
 _XI = f"(1 / (1 + {1 + K.SPP_XI} * exp(-s.power / greatest(w.n, 1e-12) * {K.SPP_XI} / {1 + K.SPP_XI})))"
@@ -509,18 +533,14 @@ _XI = f"(1 / (1 + {1 + K.SPP_XI} * exp(-s.power / greatest(w.n, 1e-12) * {K.SPP_
     ),
 )
 def q_spp(spark, d):
-    """Speech-presence noise estimate as a fold in the engine (no silent frames in these tables)."""
+    """Speech-presence noise estimate, the estimator itself (no silent frames in these tables)."""
+    from ..operators.estimators import SppMmse
 
-    def step(state, x):
-        n, q = state["n"], state["q"]
-        p = 1 / (1 + (1 + K.SPP_XI) * F.exp(-x / F.greatest(n, F.lit(K.EPSILON)) * K.SPP_XI / (1 + K.SPP_XI)))
-        q2 = K.SPP_SMOOTHING * q + (1 - K.SPP_SMOOTHING) * p
-        p2 = F.when(q2 > K.SPP_CAP, F.least(p, F.lit(K.SPP_CAP))).otherwise(p)
-        nxt = K.SPP_POWER * n + (1 - K.SPP_POWER) * ((1 - p2) * x + p2 * n)
-        return F.struct(F.coalesce(nxt, x).alias("n"), F.when(n.isNull(), F.lit(0.0)).otherwise(q2).alias("q"))
+    def run(x):
+        e = SppMmse(x.shape[1])
+        return np.stack([e.step(f) for f in x])
 
-    f = L.fold(spectra(spark, d), F.struct(F.lit(None).cast("double").alias("n"), F.lit(0.0).alias("q")), step)
-    return f.select(*KEYS, F.round("state.n", 6).alias("noise"))
+    return _by_stream(spark, d, run)
 
 
 def _by_stream(spark, d, make, columns: str = "noise double"):
@@ -568,21 +588,15 @@ def q_brandt(spark, d):
 
 @query("q_adaptive")
 def q_adaptive(spark, d):
-    """All three methods behind one face: gap-filled and smoothed output."""
+    """All three methods behind one face: gap-filled and smoothed output, in one pass over the frames."""
     from ..operators.estimators import AdaptiveNoise
 
-    def run(method):
-        def go(x):
-            a = AdaptiveNoise(method, x.shape[1], RATE, FFT)
-            return np.stack([a.step(f) for f in x])
-
-        return go
+    def run(x):
+        all_methods = [AdaptiveNoise(method, x.shape[1], RATE, FFT) for method in range(3)]
+        return np.stack([np.stack([a.step(f) for a in all_methods]) for f in x]).reshape(len(x), -1)
 
-    out = None
-    for method in range(3):
-        part = _by_stream(spark, d, run(method)).withColumn("method", F.lit(method))
-        out = part if out is None else out.unionByName(part)
-    return out
+    both = _by_stream(spark, d, run)
+    return both.select("stream_id", "frame_no", (F.col("bin") % BINS).alias("bin"), "noise", F.floor(F.col("bin") / BINS).cast("int").alias("method"))
 
 
 @query("q_masking")

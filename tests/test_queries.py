@@ -40,7 +40,7 @@ def test_runs(spark, name):
 
 def test_similar_bins_cover_all_frames(spark):
     rows = registry.spectra(spark, DIR).count()
-    assert registry.queries()["q_similar_bins_full"](spark, DIR).count() == rows
+    assert registry.queries()["q_similar_bins"](spark, DIR).count() == rows
 
 
 def test_partitions_do_not_matter(spark):
