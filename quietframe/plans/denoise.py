@@ -9,9 +9,13 @@ number.  One stream has to fit a task; unbounded streams go through
 
 from __future__ import annotations
 
+import json
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import spectra
@@ -106,37 +110,79 @@ class Processor:
         return spectrum - spectrum * gain if self.p.residual_listen else spectrum * gain
 
 
-def process_signal(x: np.ndarray, g: Geometry, parameters: Parameters, learn_samples: int, two_d: bool = False, profiles: dict[int, np.ndarray] | None = None) -> np.ndarray:
-    """Learn from the frames that end within the first samples, then reduce noise; output is as long as the input."""
+def process_signal(
+    x: np.ndarray, g: Geometry, parameters: Parameters, learn_samples: int, two_d: bool = False, profiles: dict[int, tuple[np.ndarray, int]] | None = None, controls: list[tuple[int, Parameters]] | None = None
+) -> np.ndarray:
+    """Learn from the frames that end within the first samples, then reduce noise; output is as long as the input.
+
+    ``profiles`` has, by mode, a profile and the number of frames it was learned
+    from.  ``controls`` are parameters (in user units) and the position from
+    which they hold: for every frame that ends after it.  One that comes while
+    the profile is learned ends that.
+    """
     spectrum = spectra.analyze(spectra.frame_signal(np.asarray(x, float), g), g)
     loaded = parameters.loaded(two_d)
     learning = Parameters(**{**loaded.__dict__, "learn_noise": 1})
     machine = Processor(g, learning if learn_samples else loaded, two_d)
-    for mode, profile in (profiles or {}).items():
-        machine.learner.load(mode, profile, 1)
+    for mode, (profile, count) in (profiles or {}).items():
+        machine.learner.load(mode, profile, count)
+    waiting = sorted(controls or [], key=lambda c: c[0])
     out = np.empty_like(spectrum)
     for n, s in enumerate(spectrum):
-        if machine.p.learn_noise and (n + 1) * g.hop > learn_samples:
+        end = (n + 1) * g.hop
+        if learn_samples and machine.p.learn_noise and end > learn_samples:
             machine.load(loaded)
+        while waiting and waiting[0][0] < end:
+            machine.load(waiting.pop(0)[1].loaded(two_d))
         out[n] = machine.step(s)
     return spectra.overlap_add(spectra.synthesize(out, g), g, len(x))
 
 
-def denoise(signal: DataFrame, rate: int, frame_ms: float, parameters: Parameters, learn_samples: int = 0, two_d: bool = False) -> DataFrame:
+def denoise(
+    signal: DataFrame, rate: int, frame_ms: float, parameters: Parameters, learn_samples: int = 0, two_d: bool = False, profiles: DataFrame | None = None, controls: DataFrame | None = None
+) -> DataFrame:
     """``(stream_id, pos, amp)`` to ``(stream_id, pos, value)``: the whole chain, stream by stream.
 
     Positions of a stream are ranked; gaps are not filled.  The output is
     delayed by the reported latency; a stream shorter than a hop gives zeros.
+    ``profiles`` are rows of the profile store, ``profile_id`` naming the stream;
+    those that are not available are left out.  ``controls`` has ``stream_id``,
+    ``pos`` and any fields of :class:`Parameters`: from there on these hold, and
+    fields that are absent or null are those of ``parameters``.
     """
     g = geometry(rate, frame_ms, two_d)
+    key = signal.schema["stream_id"].dataType.simpleString()
+    schema = f"stream_id {key}, pos long, value double"
+    samples = signal.select("stream_id", "pos", "amp").groupBy("stream_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, held: dict | None = None, changes: list | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        value = process_signal(pdf["amp"].to_numpy(), g, parameters, learn_samples, two_d)
+        value = process_signal(pdf["amp"].to_numpy(), g, parameters, learn_samples, two_d, held, changes)
         return pd.DataFrame({"stream_id": pdf["stream_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "value": value})
 
-    schema = f"stream_id {signal.schema['stream_id'].dataType.simpleString()}, pos long, value double"
-    return signal.select("stream_id", "pos", "amp").groupBy("stream_id").applyInPandas(run, schema)
+    if profiles is None and controls is None:
+        return samples.applyInPandas(lambda pdf: one(pdf), schema)
+    side = f"stream_id {key}, mode int, block_count int, profile array<double>, pos long, control string"
+    rows = signal.sparkSession.createDataFrame([], side)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    if profiles is not None:
+        mine = profiles.where("available").select(F.col("profile_id").cast(key).alias("stream_id"), "mode", "block_count", F.col("profile").cast("array<double>").alias("profile"))
+        rows = rows.unionByName(mine.withColumns({"pos": nothing("long"), "control": nothing("string")}))
+    if controls is not None:
+        fields = F.to_json(F.struct(*(c for c in controls.columns if c not in ("stream_id", "pos"))))
+        changes = controls.select(F.col("stream_id").cast(key).alias("stream_id"), F.col("pos").cast("long").alias("pos"), fields.alias("control"))
+        rows = rows.unionByName(changes.withColumns({"mode": nothing("int"), "block_count": nothing("int"), "profile": nothing("array<double>")}))
+
+    def both(pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"stream_id": [], "pos": [], "value": []})
+        known = side[side["mode"].notna()]
+        held = {int(m): (np.array(p, float), int(n)) for m, p, n in zip(known["mode"], known["profile"], known["block_count"], strict=True)}
+        told = side[side["control"].notna()]
+        changes = [(int(p), replace(parameters, **json.loads(c))) for p, c in zip(told["pos"], told["control"], strict=True)]
+        return one(pdf, held, changes)
+
+    return samples.cogroup(rows.groupBy("stream_id")).applyInPandas(both, schema)
 
 
 def band_ranges(g: Geometry, scale: str = "bark") -> list[tuple[int, int]]:

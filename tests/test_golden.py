@@ -179,3 +179,32 @@ def test_reduction(params, bound):
     assert 0.01 < ratio < bound
     again = process_signal(np.concatenate((noise, x)), g, G.Parameters(reduction_amount=20, **params), 0 if params else 8820)
     assert (y == again).all()
+
+
+def test_profiles_and_controls(spark):
+    """Stored profiles and parameter rows as inputs of a plan; a stream without either is as before."""
+    import pandas as pd
+
+    from quietframe.plans.denoise import denoise
+    from quietframe.sources import profiles as store
+
+    rng = np.random.default_rng(8)
+    signals = {s: rng.normal(size=300) for s in ("a", "b", "c")}
+    signal = spark.createDataFrame(pd.concat(pd.DataFrame({"stream_id": s, "pos": np.arange(300), "amp": x}) for s, x in signals.items()))
+    g, p = G.geometry(4000, 8), G.Parameters(reduction_amount=12, masking_depth=0)
+    profile = (rng.random(g.bins) + 0.5).astype(np.float32).tolist()
+    kept = store.put(spark.createDataFrame([], store.SCHEMA), "a", 1, profile, 9, store.profile_size(g.bins, g.fft, False))
+    kept = store.put(kept, "b", 1, profile, 9, g.bins)
+    kept = kept.unionByName(spark.createDataFrame([("c", 1, 9, False, profile)], store.SCHEMA))
+    controls = spark.createDataFrame([("b", 120, 30.0, None), ("b", 200, 0.0, True), ("c", 0, 6.0, None)], "stream_id string, pos long, reduction_amount double, residual_listen boolean")
+    out = denoise(signal, 4000, 8, p, 0, profiles=kept, controls=controls).toPandas()
+    got = {s: out[out.stream_id == s].sort_values("pos")["value"].to_numpy() for s in signals}
+    held = {1: (np.array(profile), 9)}
+    assert np.allclose(got["a"], process_signal(signals["a"], g, p, 0, profiles=held))
+    loud = G.Parameters(reduction_amount=30, masking_depth=0)
+    rest = G.Parameters(reduction_amount=0, masking_depth=0, residual_listen=True)
+    assert np.allclose(got["b"], process_signal(signals["b"], g, p, 0, profiles=held, controls=[(200, rest), (120, loud)]))
+    assert np.allclose(got["b"][:120], process_signal(signals["b"], g, p, 0, profiles=held)[:120])
+    assert np.allclose(got["c"], process_signal(signals["c"], g, G.Parameters(reduction_amount=6, masking_depth=0), 0))
+    plain = denoise(signal, 4000, 8, p, 40).toPandas()
+    assert np.allclose(plain[plain.stream_id == "c"].sort_values("pos")["value"], process_signal(signals["c"], g, p, 40))
