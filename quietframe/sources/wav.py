@@ -1,4 +1,4 @@
-"""Sample files: WAV in and out, Parquet sample tables.
+"""Sample files: WAV files in and out, Parquet sample tables.
 
 Files are read by Spark's ``binaryFile`` source, so any store that Spark
 reads will do, and decoded on the executors.  Only mono PCM is accepted.
@@ -84,6 +84,34 @@ def wav_bytes(samples: DataFrame, value: str = "amp") -> DataFrame:
     return slim.groupBy("stream_id").applyInPandas(run, "stream_id string, content binary")
 
 
+def write_wav(samples: DataFrame, folder: str, value: str = "amp") -> None:
+    """A WAV file per stream in ``folder``, named as the last part of the stream's id.
+
+    Executors write; ``folder`` is a URI of a store that Arrow knows or a path
+    that all of them share.  A file is complete or absent: it is written beside
+    its place and moved, so a task that runs again gives the same file.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["stream_id"], pdf["content"], strict=True):
+                base = name.rstrip("/").rsplit("/", 1)[-1]
+                own = f"{root.rstrip('/')}/{base if base.endswith('.wav') else base + '.wav'}"
+                beside = f"{own}.{uuid.uuid4().hex}.part"
+                with where.open_output_stream(beside) as f:
+                    f.write(content)
+                where.move(beside, own)
+            yield pd.DataFrame({"stream_id": pdf["stream_id"]})
+
+    wav_bytes(samples, value).mapInPandas(run, "stream_id string").write.format("noop").mode("overwrite").save()
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """Parquet sample table, a directory per stream, so a reader of one stream prunes the others."""
     samples.repartition("stream_id").sortWithinPartitions("stream_id", "pos").write.mode("overwrite").partitionBy("stream_id").parquet(path)

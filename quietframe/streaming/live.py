@@ -64,11 +64,20 @@ class LiveStream:
         return out
 
 
-def denoise_stream(samples: DataFrame, rate: int, frame_ms: float, parameters: Parameters, learn_samples: int = 0, two_d: bool = False) -> DataFrame:
-    """Streaming ``(stream_id string, pos long, amp double)`` to ``(stream_id, pos, value)``."""
+def denoise_stream(samples: DataFrame, rate: int, frame_ms: float, parameters: Parameters, learn_samples: int = 0, two_d: bool = False, idle_ms: int | None = None) -> DataFrame:
+    """Streaming ``(stream_id string, pos long, amp double)`` to ``(stream_id, pos, value)``.
+
+    With ``idle_ms``, state is dropped after so much processing time without
+    samples, and what comes for the stream later begins anew, with learning;
+    without it state stays, and so do streams that have ended.  State is the
+    pickled machine: a query has to be restarted with the version that wrote it.
+    """
     g = geometry(rate, frame_ms, two_d)
 
     def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         live = pickle.loads(state.get[0]) if state.exists else LiveStream(g, parameters, learn_samples, two_d)
         pdf = pd.concat(list(parts)).sort_values("pos").drop_duplicates("pos")
         pdf = pdf[pdf["pos"] > live.next_pos - 1] if live.next_pos >= 0 else pdf
@@ -77,5 +86,7 @@ def denoise_stream(samples: DataFrame, rate: int, frame_ms: float, parameters: P
             live.next_pos = int(pdf["pos"].iloc[-1]) + 1
             yield pd.DataFrame({"stream_id": key[0], "pos": pdf["pos"].to_numpy(), "value": value})
         state.update((pickle.dumps(live),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
 
-    return samples.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, pos long, value double", "machine binary", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, pos long, value double", "machine binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

@@ -65,3 +65,49 @@ def test_stream(spark, tmp_path):
     q.stop()
     out = spark.table("live").toPandas().sort_values("pos")
     assert np.allclose(out["value"], process_signal(x, geometry(4000, 8), p, 100))
+
+
+def test_idle_streams_lose_their_state(spark, tmp_path):
+    """After the idle time a stream begins anew; without it, it goes on."""
+    import time
+
+    x = np.random.default_rng(5).normal(size=400)
+    p, got = Parameters(reduction_amount=12), {}
+    for idle in (1, 3_600_000):
+        where = tmp_path / str(idle)
+        where.mkdir()
+        source = spark.readStream.schema("stream_id string, pos long, amp double").parquet(str(where))
+        out = denoise_stream(source, 4000, 8, p, 100, idle_ms=idle)
+        q = out.writeStream.format("memory").queryName(f"idle{idle}").outputMode("append").trigger(processingTime="100 milliseconds").start()
+        for i, at in enumerate((0, 200)):
+            pd.DataFrame({"stream_id": "s", "pos": np.arange(at, at + 200), "amp": x[at : at + 200]}).to_parquet(tmp_path / f"{idle}-{i}.parquet")
+            (tmp_path / f"{idle}-{i}.parquet").rename(where / f"{i}.parquet")
+            until = time.time() + 60
+            while spark.table(f"idle{idle}").count() < at + 200 and time.time() < until:
+                time.sleep(0.2)
+            time.sleep(1)  # runs without data let what has timed out go
+        q.stop()
+        got[idle] = spark.table(f"idle{idle}").toPandas().sort_values("pos")["value"].to_numpy()
+    g = geometry(4000, 8)
+    assert np.allclose(got[3_600_000], process_signal(x, g, p, 100))
+    assert np.allclose(got[1], np.concatenate([process_signal(x[:200], g, p, 100), process_signal(x[200:], g, p, 100)]))
+
+
+def test_command_line(spark, tmp_path):
+    """Files in, files out: what is learned from is left out, the rest is the chain's."""
+    from quietframe import cli
+
+    rng = np.random.default_rng(6)
+    (tmp_path / "in").mkdir()
+    signals = {"a.wav": rng.normal(size=6000) * 0.2, "b.wav": np.sin(np.arange(5000) / 5) * 0.4 + rng.normal(size=5000) * 0.1}
+    for name, x in signals.items():
+        (tmp_path / "in" / name).write_bytes(wav.encode(x, 8000, 2))
+    cli.main([f"{tmp_path}/in/*.wav", f"{tmp_path}/out", "-n", "3", "-r", "15", "-f", "20", "-l", "0.5", "-d", "0.2"])
+    p = Parameters(reduction_amount=15, whitening_factor=50, masking_depth=0.2, aggressiveness=0.5)
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["a.wav", "b.wav"]
+    for name, x in signals.items():
+        y, rate, width = wav.decode((tmp_path / "out" / name).read_bytes())
+        read, _, _ = wav.decode((tmp_path / "in" / name).read_bytes())
+        assert (rate, width) == (8000, 2) and np.allclose(y, process_signal(read, geometry(8000, 20), p, 1536)[1536:], atol=1e-4)
+    with pytest.raises(SystemExit):
+        cli.main([f"{tmp_path}/in/*.wav", f"{tmp_path}/none", "-n", "0"])
