@@ -297,9 +297,10 @@ def interpolate_bands(frame_bands: DataFrame, ranges: list[tuple[int, int]], bin
     c = [lo + (hi - lo) / 2 for lo, hi in ranges]
     rows = []
     for b in range(bins):
-        j = max([i for i, at in enumerate(c) if at <= b], default=0)
-        k = min(j + 1, len(c) - 1)
-        t = min(max((b - c[j]) / (c[k] - c[j]), 0.0), 1.0) if k > j else 0.0
+        # Up to the first center that the bin does not lie beyond; of bands that share a center the first counts.
+        k = next((i for i in range(1, len(c)) if c[i] >= b), len(c) - 1)
+        j = k - 1 if len(c) > 1 and c[k] >= b else k
+        t = min(max((b - c[j]) / (c[k] - c[j]), 0.0), 1.0) if c[k] > c[j] else 0.0
         rows += [(b, j, 1 - t), (b, k, t)]
     share = spark.createDataFrame(rows, "bin long, band long, share double")
     joined = frame_bands.join(F.broadcast(share), "band")

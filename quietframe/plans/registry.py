@@ -381,8 +381,9 @@ def q_band_smooth(spark, d):
 @query(
     "q_band_interpolation",
     f"""WITH {_SPECTRA}, {_bands_sql(OPUS)}, {_ENERGIES}, c AS (SELECT band, lo + (hi - lo) / 2.0 AS mid FROM bands), last AS (SELECT max(band) AS m FROM bands),
-      seat AS (SELECT b AS bin, coalesce((SELECT max(band) FROM c WHERE mid <= b), 0) AS j FROM range(64) r(b)),
-      share AS (SELECT bin, j, least(j + 1, m) AS k, CASE WHEN j = m THEN 0 ELSE least(greatest((bin - x.mid) / (y.mid - x.mid), 0), 1) END AS t FROM seat, last JOIN c x ON x.band = j JOIN c y ON y.band = least(j + 1, m))
+      seat AS (SELECT b AS bin, (SELECT min(band) FROM c WHERE band >= 1 AND mid >= b) AS nxt FROM range(64) r(b)),
+      share AS (SELECT bin, x.band AS j, y.band AS k, CASE WHEN y.mid > x.mid THEN least(greatest((bin - x.mid) / (y.mid - x.mid), 0), 1) ELSE 0 END AS t
+        FROM seat, last JOIN c x ON x.band = coalesce(nxt - 1, m) JOIN c y ON y.band = coalesce(nxt, m))
       SELECT x.stream_id, x.frame_no, bin, round(coalesce(a.energy, 0) * (1 - t) + coalesce(b.energy, 0) * t, 6) AS energy FROM (SELECT DISTINCT stream_id, frame_no FROM ranked) x, share
       LEFT JOIN energies a ON a.band = j AND a.stream_id = x.stream_id AND a.frame_no = x.frame_no LEFT JOIN energies b ON b.band = k AND b.stream_id = x.stream_id AND b.frame_no = x.frame_no""",
 )
