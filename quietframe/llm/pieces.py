@@ -10,7 +10,8 @@ may be entered in, the states it can be left in (the finite entries of its
 transfer matrix); the matrices combine associatively to the states that lie on
 the one full path, and with those each chunk is traced back by itself.
 
-Other documents are encoded unit by unit, as no piece has a blank inside.
+Other documents are encoded unit by unit, as no piece has a blank inside, and
+whole by the library where the text itself holds the vocabulary's blank sign.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ class PieceModel:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        if _BLANK in text:  # a written sign joins with blanks beside it
+            return self.sp.encode(text)
         if len(self.cache) > _CACHE:
             self.cache.clear()
         out: list[int] = []
@@ -211,6 +214,9 @@ def path_states(matrices: list[dict], last: tuple[str, int] | None = None) -> li
     return [states[i] for i in range(1, len(matrices))]
 
 
+_CHUNK = "id long, row long, no int, begin int, end int, part string, final boolean"
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
     """Encode and decode every whole text: ``(id, n_pieces, ids_crc32, ids, decoded_sha256, round_trip)``.
 
@@ -242,15 +248,24 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 yield finish(batch.column(0).to_pylist(), encoded, [model.decode(e.tolist()) for e in encoded], [t.encode() for t in texts])
 
     small = rows.where(F.length("t") < giant).mapInArrow(plain, schema)
-    big = rows.where(F.length("t") >= giant).withColumn("t", F.concat(F.lit(_BLANK), F.translate("t", " ", _BLANK)))
-    big = big.withColumn("row", F.xxhash64("id", "t"))
+    big = rows.where(F.length("t") >= giant).withColumn("row", F.xxhash64("id", "t"))
     margin = 64
-    numbers = F.sequence(F.lit(0), ((F.length("t") - 1) / chunk).cast("int"))
-    # Texts are cut by the engine; a task sees one chunk and its margins at a time.
-    cut = big.dropDuplicates(["id", "row"]).select("id", "row", F.length("t").alias("n"), "t", F.explode(numbers).alias("no"))
-    begin = F.col("no") * chunk
-    low = F.greatest(begin - margin, F.lit(0))
-    cut = cut.select("id", "row", "no", (begin - low).alias("begin"), F.least(F.col("n") - low, begin + chunk - low).alias("end"), F.expr(f"substring(t, greatest(no * {chunk} - {margin}, 0) + 1, {chunk + 2 * margin})").alias("part"), (F.col("n") <= begin + chunk).alias("final"))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk with its margins; a text is gone through once."""
+        names = [c.split()[0] for c in _CHUNK.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+        for batch in batches:
+            for key, row, t in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text = normal_form(t.as_py())
+                for first in range(0, len(text), 64 * chunk):
+                    rows = []
+                    for begin in range(first, min(first + 64 * chunk, len(text)), chunk):
+                        low = max(0, begin - margin)
+                        rows.append((key.as_py(), row.as_py(), begin // chunk, begin - low, min(len(text), begin + chunk) - low, text[low : begin + chunk + margin], len(text) <= begin + chunk))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    cut = big.dropDuplicates(["id", "row"]).select("id", "row", "t").mapInArrow(chunks, _CHUNK)
     cut = staged(cut.repartition("row", "no"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +302,6 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         for batch in batches:
             for r in batch.to_pylist():
                 ids = np.frombuffer(b"".join(p["ids"] for p in r["parts"]), "<u4")
-                yield finish([r["id"]], [ids], [model.decode(ids.tolist())], [r["t"][1:].replace(_BLANK, " ").encode()])
+                yield finish([r["id"]], [ids], [model.decode(ids.tolist())], [r["t"].encode()])
 
     return small.unionByName(big.join(parts, "row").select("id", "t", "parts").mapInArrow(joined, schema))
