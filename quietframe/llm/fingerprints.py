@@ -75,14 +75,34 @@ def _walks(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     base, step = starts[order], np.zeros(len(order), np.int32)
     longest = lengths[order]
     alive = np.searchsorted(-longest, -np.arange(int(longest[0]) if len(longest) else 0), side="left")
-    for i, n in enumerate(alive):  # texts longer than i come first
+    abreast = int(np.searchsorted(-alive, -_ALONE, side="left"))
+    for i, n in enumerate(alive[:abreast]):  # texts longer than i come first
         at = base[:n] + i
         s = step[:n]
         reached[at] = s
         s += hold[classes[at].astype(np.int32) * PERIOD + (s & (PERIOD - 1))]
+    # The few longest go on one by one, which is cheaper than a step of arrays for each character.
+    for k in range(int(alive[abreast]) if abreast < len(alive) else 0):
+        begin, end = int(base[k]) + abreast, int(base[k] + longest[k])
+        reached[begin:end] = _walk_alone(classes[begin:end], int(step[k]))
     return reached
 
 
+#: Texts that are walked one by one once no others are left.
+_ALONE = 16
+_HOLD_LIST: list[list[int]] = []
+
+
+def _walk_alone(classes: np.ndarray, step: int) -> np.ndarray:
+    if not _HOLD_LIST:
+        _HOLD_LIST.append(_HOLD[0].tolist())
+    hold, out = _HOLD_LIST[0], []
+    for row in (classes.astype(np.int32) * PERIOD).tolist():
+        out.append(step)
+        step += hold[row + (step & (PERIOD - 1))]
+    return np.array(out, np.int32)
+
+
 def _sample_steps(limit: int) -> list[np.ndarray]:
     """For each slot, the steps that have the least rank of all steps so far (records), up to ``limit``."""
     have = _RECORDS.get(0)
