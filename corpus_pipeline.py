@@ -28,27 +28,49 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a credible language go."""
+    """Documents without a credible language go: null, empty and letterless texts among them.
+
+    Learned from the labels that are not null, outside the held-out fold.
+    Equal texts share their fate, repeated ids too; columns other than
+    ``COLUMNS`` are left behind whatever their names; an empty table stays empty.
+    """
+    docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
     return langid.predict(docs, model).where(langid.accepted(MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold go."""
+    """Documents that score below the threshold go.
+
+    Learned from the labelled rows outside the held-out fold; a repeated id
+    counts once a row.  Equal texts share their fate.  Without labels every
+    score is the even prior, and all documents stay only if that passes.
+    """
+    docs = docs.select(*COLUMNS)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(F.col("doc_id"), 4, 2))
     model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
     return quality.predict(docs, model, threshold=QUALITY_THRESHOLD).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays."""
+    """Of each group of near-duplicates the document of least id stays.
+
+    Texts without words are in no group; rows that repeat an id share its fate;
+    a null id is a group of its own.
+    """
+    docs = docs.select(*COLUMNS)
     found = chosenpath.near_duplicates(docs, words=SHINGLE_WORDS, threshold_percent=SIMILARITY_PERCENT)
     gone = found.where("not kept").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand in a document of smaller id are cut out; documents of which nothing is left go."""
+    """Passages that stand in a document of smaller id are cut out; documents of which nothing is left go.
+
+    Empty and null texts go as well.  A cut may split a character: what is left
+    of it goes.  Rows that repeat an id do not cut each other.
+    """
+    docs = docs.select(*COLUMNS)
     cut = suffix.remove_repeats(docs, carry=("lang", "source"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +85,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, placed in sequences."""
-    packed = packing.pack(packing.pieces(docs, bpe_files()))
+    """Token pieces of what is left, placed in sequences; an empty text is its end token."""
+    most = packing.MAX_LOSS_TOKENS
+    packed = packing.pack(packing.pieces(docs, bpe_files(), max_loss=most), max_loss=most)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
