@@ -1,12 +1,14 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
-Documents are sets of word shingles.  In each of some independent trees a
-document branches to the node named by its least shingle under that level's
-hash (two sets of Jaccard similarity s choose the same branch with probability
-s); nodes with many documents branch again, small ones are compared
-exhaustively.  The paths of all trees come from one minwise signature: two
-bytes a level and tree.  What moves through a tree is a document's id, its path
-in that tree and one bit of each minwise hash, to compare by; never its text.
+Documents are sets of word shingles.  In each of some independent trees a node
+chooses one or two minwise hashes, ``1 / threshold`` on average, and every
+document in it branches by each to the node that its least shingle under that
+hash names (two sets of Jaccard similarity s go on together by a hash with
+probability s, so that a pair at the threshold is in one common branch of a
+node on average).  Nodes with many documents branch again, small ones are
+compared exhaustively.  The paths of all trees come from one minwise signature:
+two bytes a hash.  What moves through a tree is a document's id, its hashes of
+that tree and one bit of each minwise hash, to compare by; never its text.
 Nodes propose groups of documents that may be linked; every link is then
 confirmed on the full sets.
 """
@@ -37,10 +39,22 @@ LANDMARKS = 16
 _SLACK = 5
 
 
+#: Minwise hashes that a node may choose from.
+CHOICES = 2
+
+
+def second_branch(threshold: float) -> float:
+    """Share of the nodes that choose two hashes, so that nodes choose ``1 / threshold`` on average (two at most)."""
+    return float(np.clip(1 / threshold - 1, 0, 1))
+
+
 def trees_for(threshold: float) -> int:
-    """Trees of which at least one keeps a pair at the threshold together over all levels, but for ``MISS``: 31 at 0.8."""
-    whole = threshold**LEVELS
-    return 10 if whole >= 1 else max(10, int(np.ceil(np.log(MISS) / np.log1p(-whole))))
+    """Trees of which at least one keeps a pair at the threshold together over all levels, but for ``MISS``: 15 at 0.8."""
+    two, meets = second_branch(threshold), 1.0
+    for _ in range(LEVELS):
+        apart = 1 - threshold * meets
+        meets = 1 - ((1 - two) * apart + two * apart**2)
+    return 6 if meets >= 1 else max(6, int(np.ceil(np.log(MISS) / np.log1p(-meets))))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +103,7 @@ def _summaries(words: int, trees: int):
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1), 1 << 20):
                 values, cut = shingle_sets(data, offsets, words)
-                sig = signatures(values, cut, trees * LEVELS)
+                sig = signatures(values, cut, trees * LEVELS * CHOICES)
                 # 128 bits that stand for the whole set.
                 zero = np.zeros(1, np.uint64)
                 sums = (np.concatenate((zero, np.cumsum(mix64(values + np.uint64(k))))) for k in (11, 23))
@@ -171,11 +185,20 @@ def _node_step(least: int):
 def _propose(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
     """Links ``(a, b)`` between documents that some small node holds and whose bits are alike, or that the last level leaves together."""
     n = partitions(reps.sparkSession)
-    bits, mean = trees * LEVELS, (1 + threshold) / 2
+    width = LEVELS * CHOICES
+    bits, mean = trees * width, (1 + threshold) / 2
     least = int(bits * (1 - mean) + _SLACK * np.sqrt(bits * mean * (1 - mean)))
-    path = F.substring(F.col("sig"), F.col("tree") * (2 * LEVELS) + 1, F.lit(2 * LEVELS))
-    at = reps.select("id", "marks", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("id", "marks", "tree", path.alias("path"))
-    at = at.select(F.xxhash64("tree", F.substring("path", 1, 2 * FIRST)).alias("node"), "id", "marks", "path")
+
+    def branched(rows: DataFrame, level: int) -> DataFrame:
+        # Each hash belongs to one level of one tree; which nodes choose two follows from their name.
+        by = [F.xxhash64("node", F.lit(c), F.substring("path", 2 * (CHOICES * level + c) + 1, 2)) for c in range(CHOICES)]
+        both = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < int(second_branch(threshold) * (1 << 20))
+        return rows.select(F.explode(F.when(both, F.array(*by)).otherwise(F.array(by[0]))).alias("node"), "id", "marks", "path")
+
+    path = F.substring(F.col("sig"), F.col("tree") * (2 * width) + 1, F.lit(2 * width))
+    at = reps.select("id", "marks", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(F.xxhash64("tree").alias("node"), "id", "marks", path.alias("path"))
+    for level in range(FIRST):
+        at = branched(at, level)
     out = None
     for level in range(FIRST, LEVELS + 1):
         # Counts are combined before they are shuffled; the rows of a hot node never meet in one task.
@@ -195,8 +218,7 @@ def _propose(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
             lead = rest.groupBy("node").agg(F.min("id").alias("a"))
             links = rest.select("node", F.col("id").alias("b")).join(lead, "node").where("a <> b").select("a", "b")
             return out.unionByName(links).distinct()
-        # Level l of tree t uses its own minwise hash: 2 bytes of the path.
-        at = staged(rest.withColumn("node", F.xxhash64("node", F.substring("path", 2 * level + 1, 2))))
+        at = staged(branched(rest, level))
         if at.isEmpty():
             break
     return out.distinct()
