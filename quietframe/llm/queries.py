@@ -63,18 +63,18 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_files() -> dict[str, str]:
-    """Where the public vocabulary files are; a parameter of the operators, never copied here."""
+    """Where the public vocabulary file is; a parameter of the operators, never copied here."""
     import public_tokenizers as P
 
-    return {"json_path": P.path("byte_bpe_50k.json"), "ranks_path": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
+    return {"json_path": P.path("byte_bpe_50k.json")}
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    cut = packing.pieces(read_table(spark, sf_dir, "documents"), bpe_files())
-    out = packing.pack(cut)
-    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    cut = packing.pieces(read_table(spark, sf_dir, "documents"), bpe_files(), max_loss=packing.MAX_LOSS_TOKENS)
+    out = packing.pack(cut, max_loss=packing.MAX_LOSS_TOKENS)
+    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("loss").alias("loss_tokens"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,8 +164,17 @@ def test_special_tokens_as_the_library():
     files = bpe_files()
     t = packing.UnitTokenizer(**files)
     full = Tokenizer.from_file(files["json_path"])
-    for x in ["a<|endoftext|> b", "  x  y\n z ", "it's  we'll\tdon't", " ", "a \n b", "1 22  333"]:
+    for x in ["a<|endoftext|> b", "  x  y\n z ", "it's  we'll\tdon't", " ", "a \n b", "1 22  333", "", "a\u00a0 b \u3000c \u2028 d", "é à è"]:
         assert t.encode(x).tolist() == full.encode(x, add_special_tokens=False).ids
+    import random
+
+    rng = random.Random(17)
+    signs = ["a", "The", " ", " ", "  ", "'s", "é", "à", "\u00a0", "\u2009", "\u0085", "\u3000", "\u1680", "\n", "\t", "\x1f", "1", "_", "日", "\u0300", "<|endoftext|>", "😀", "\x7f", "."]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(5000)]
+    raw = [x.encode() for x in texts]
+    ids, cut = t.encode_slice(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    for i, x in enumerate(texts):
+        assert ids[cut[i] : cut[i + 1]].tolist() == [*full.encode(x, add_special_tokens=False).ids, packing.END_ID]
 
 
 # SentencePiece
