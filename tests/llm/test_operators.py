@@ -116,10 +116,27 @@ def test_windows_reach_over_tasks(spark):
     """Pairs whose ends are in different, mostly small, tasks."""
     rng = np.random.default_rng(22)
     v = rng.normal(size=(9, 12))
-    rows = [(0, 1, 12, i, i, bytearray(v[i % 9].tobytes())) for i in range(18)]
-    dealt = spark.createDataFrame(rows, "pass int, label long, dim int, code long, id long, v binary").repartitionByRange(6, "code").sortWithinPartitions("code")
-    links = embdedup._window_links(dealt, 0.99, 9).collect()
-    assert {(r["a"], r["b"]) for r in links} == {(i, i + 9) for i in range(9)}
+    small = embdedup.quantised(v / np.linalg.norm(v, axis=1, keepdims=True))
+    rows = [(0, 1, 12, i, i, bytearray(small[i % 9])) for i in range(18)]
+    dealt = spark.createDataFrame(rows, "pass int, label long, dim int, code long, id long, q binary").repartitionByRange(6, "code").sortWithinPartitions("code")
+    links = embdedup._window_links(dealt, 0.95, 9).collect()
+    assert {(r["a"], r["b"], r["sure"]) for r in links} == {(i, i + 9, True) for i in range(9)}
+
+
+def test_pairs_that_rounding_leaves_open(spark):
+    """Pairs closer to the threshold than a byte a component can tell, on both sides of it."""
+    rng = np.random.default_rng(23)
+    rows, expected = [], {}
+    for k in range(400):
+        u = rng.normal(size=24)
+        u /= np.linalg.norm(u)
+        w = rng.normal(size=24)
+        w -= (w @ u) * u
+        cosine = 0.93 + rng.choice((-1, 1)) * 10.0 ** rng.uniform(-9, -2)
+        rows += [(2 * k, u, 1), (2 * k + 1, cosine * u + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w), 1)]
+        expected[2 * k] = int(cosine >= 0.93)
+    out = by_id(embdedup.near_vectors(spark.createDataFrame([(i, v.tolist(), y) for i, v, y in rows], "vec_id long, embedding array<double>, label int")))
+    assert {i: out[i]["n_links"] for i in expected} == expected
 
 
 # Packing
