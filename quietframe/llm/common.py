@@ -8,6 +8,7 @@ never takes the only copy of an intermediate result with it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,6 +82,15 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tupl
         hi = min(hi, n)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for further tasks and would hold it beside those of others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
