@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, lowered, mix64, partitions, run_hashes, staged, stars, text_slices, word_bounds
+from .common import connected, give_back, lowered, mix64, partitions, run_hashes, staged, stars, text_slices, word_bounds
 
 #: Share of pairs at the threshold that all trees together may miss, where nodes stay large down to the last level.
 MISS = 1e-4
@@ -178,6 +178,7 @@ def _node_step(least: int):
                 held, begun = held.slice(0, 1), True
         if held is not None and held.num_rows:
             yield from step(held, begun)
+        give_back()
 
     return run
 
