@@ -35,7 +35,7 @@ END_ID = 1
 BLOCK_TAILS = 4096
 #: Distinct units that a task keeps at most.
 _KEPT_UNITS = 400_000
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 #: The bytes with which a white-space character beyond ASCII begins, and its last two bytes.
 _WIDE_SPACE_FIRST = (0xC2, 0xE1, 0xE2, 0xE3)
 _WIDE_SPACE_END = ((0xC2, 0x80, 0x81, 0x9A), (0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF))
@@ -95,10 +95,10 @@ class UnitTokenizer:
         ends = np.cumsum(size)
         # Units that begin with a blank are encoded as one text; its ids are dealt out by the bytes they stand for.
         first = np.frombuffer(raw, np.uint8)[ends - size]
-        breaks = np.flatnonzero((first != 0x20) | (np.arange(len(size)) % 2000 == 0))
+        breaks = np.flatnonzero((first != 0x20) | (np.arange(len(size)) % 500 == 0))
         at = np.append((ends - size)[breaks], len(raw))
         texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        ids = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 500) for e in self.full.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
+        ids = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 50) for e in self.full.encode_batch_fast(texts[i : i + 50], add_special_tokens=False)]
         flat = np.concatenate(ids)
         cut = np.searchsorted(np.cumsum(self.bytes_of[flat]), ends, side="right")
         self.cut = np.concatenate((self.cut, self.cut[-1] + cut))
