@@ -1,7 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the average of the vectors of its features: whole words and
-character n-grams within words, both hashed to a fixed number of buckets.  A
+A document is the average of the vectors of its features: whole words, word
+bigrams and character n-grams within words, all hashed to a fixed number of
+buckets.  Bigrams of a word with itself share one bucket, whatever the word.  A
 softmax on that average gives the two labels.  Vectors and softmax are learned
 together by minibatch stochastic gradient descent in numpy.  As everything
 after the average is linear, a learned model is applied as one number per
@@ -15,25 +16,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import mix64, run_hashes, text_slices, word_bounds
+from .common import give_back, mix64, run_hashes, text_slices, word_bounds
 
 #: Bound of the labelled documents that are learned from; beyond it documents are drawn by a hash of their id.
-MAX_TRAINING_ROWS = 5_000
+MAX_TRAINING_ROWS = 8_000
 N_BUCKETS = 1 << 17
 NGRAMS = (2, 3, 4)
-#: Buckets that a repeated neighbour adds to: a word has some twenty n-grams against which one alone would be lost.
-REPEAT_WEIGHT = 6
-DIMENSIONS = 8
+#: What stands for a bigram of a word with itself before it is hashed.
+_TWICE = np.uint64(0x7477696365)
+DIMENSIONS = 16
 #: Steps of gradient descent at least, and passes over the training rows at least.
-LEAST_STEPS = 600
-EPOCHS = 8
+LEAST_STEPS = 1_500
+EPOCHS = 12
 BATCH = 64
 RATE = 0.5
 SEED = 20240229
+#: Bytes of text whose features are made at once: each byte makes some hundred bytes of them.
+_SLICE = 1 << 18
 
 
 @dataclass
@@ -51,11 +55,10 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = run_hashes(data, starts, ends)
     found, where = [words], [rows]
-    # The word bigram in general form: a word that repeats its neighbour, whatever it is.
-    again = np.flatnonzero((words[1:] == words[:-1]) & (rows[1:] == rows[:-1])) + 1
-    for copy in range(REPEAT_WEIGHT):
-        found.append(np.full(len(again), copy, np.uint64))
-        where.append(rows[again])
+    second = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+    bigram = mix64(words[second - 1] * np.uint64(0x9E3779B97F4A7C15) + words[second])
+    found.append(np.where(words[second - 1] == words[second], mix64(np.array([_TWICE])), bigram))
+    where.append(rows[second])
     # Words closed in blanks on both sides: n-grams then tell beginnings and ends apart.
     sizes = ends - starts + 2
     shift = np.concatenate(([0], np.cumsum(sizes)))
@@ -94,29 +97,44 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, label = batch.column(0), batch.column(2)
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), _SLICE):
                 bucket, row = _features(data, offsets)
                 key, n = np.unique(row * N_BUCKETS + bucket, return_counts=True)
                 cut = np.searchsorted(key, np.arange(hi - lo + 1) * N_BUCKETS)
                 buckets = (key % N_BUCKETS).astype(np.int32)
-                blobs = [[x[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)] for x in (buckets, n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), label.slice(lo, hi - lo), *map(pa.array, blobs)], ["id", "y", "k", "n"])
+                blobs = [packed(buckets[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]) for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), label.slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["id", "y", "k"])
 
-    schema = "id string, y int, k binary, n binary"
+    schema = "id string, y int, k binary"
     rows = known.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).mapInArrow(hashed, schema).toArrow()
-    order = np.argsort(np.array(rows.column("id").to_pylist(), dtype=object).astype(str), kind="stable") if rows.num_rows else np.zeros(0, np.int64)
-    label = rows.column("y").to_numpy().astype(np.int64)[order]
-    keys, counts = rows.column("k").to_pylist(), rows.column("n").to_pylist()
-    docs = [(np.frombuffer(keys[i], np.int32), np.frombuffer(counts[i], np.int32)) for i in order]
-    return fit(docs, label)
+    ids, label = rows.column("id").to_pylist(), rows.column("y").to_pylist()
+    docs = rows.column("k").to_pylist()
+    # By id, label and features: the same rows in any order give the same model.
+    order = sorted(range(len(docs)), key=lambda i: (ids[i] or "", label[i], docs[i]))
+    docs, label = [docs[i] for i in order], np.array([label[i] for i in order], np.int64)
+    del rows, ids
+    model = fit(docs, label)
+    give_back()
+    return model
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> QualityModel:
-    """Stochastic gradient descent on averaged vectors and a two-way softmax."""
+def packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """A document's ascending buckets and their counts, compressed: what the driver holds of a training row."""
+    return zstandard.compress(np.concatenate((np.diff(buckets, prepend=0), counts)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a document, and the share of each in its features."""
+    both = np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<i4").reshape(2, -1)
+    return np.cumsum(both[0]), both[1] / np.float32(max(1, both[1].sum()))
+
+
+def fit(docs: list[bytes], label: np.ndarray) -> QualityModel:
+    """Stochastic gradient descent on averaged vectors and a two-way softmax; ``docs`` are :func:`packed`."""
     rng = np.random.default_rng(SEED)
     prior = float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1)))
-    usable = [i for i, (k, _) in enumerate(docs) if len(k)]
-    shares = [(n / max(1, n.sum())).astype(np.float32) for _, n in docs]
+    nothing = packed(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    usable = [i for i, x in enumerate(docs) if x != nothing]
     if len(set(label.tolist())) < 2 or not usable:
         return QualityModel(np.zeros(N_BUCKETS, np.float32), prior)
     vectors = rng.uniform(-1, 1, (N_BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
@@ -128,16 +146,25 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Quality
     epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
     steps = epochs * per_epoch
     done = 0
+    met, place = np.zeros(N_BUCKETS, bool), np.zeros(N_BUCKETS, np.int64)
     for _ in range(epochs):
         rng.shuffle(usable)
         for at in range(0, len(usable), BATCH):
             chosen = usable[at : at + BATCH]
             rate = RATE * (1 - done / steps)
             done += 1
-            keys = np.concatenate([docs[i][0] for i in chosen])
-            share = np.concatenate([shares[i] for i in chosen])
-            cut = np.concatenate(([0], np.cumsum([len(docs[i][0]) for i in chosen])))[:-1]
-            mean = np.add.reduceat(vectors[keys] * share[:, None], cut, axis=0)
+            held = [unpacked(docs[i]) for i in chosen]
+            keys, share = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = np.repeat(np.arange(len(chosen)), [len(k) for k, _ in held])
+            # The batch as a dense matrix over the buckets that occur in it: both passes are matrix products.
+            met[keys] = True
+            used = np.flatnonzero(met)
+            met[used] = False
+            place[used] = np.arange(len(used))
+            x = np.zeros((len(chosen), len(used)), np.float32)
+            x[row, place[keys]] = share
+            own = vectors[used]
+            mean = x @ own
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -147,19 +174,15 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Quality
             back = p @ out.T
             out -= rate / len(y) * (mean.T @ p)
             bias -= rate / len(y) * p.sum(0)
-            size = np.diff(np.append(cut, len(keys)))
             # Averages make gradients small: vectors move by each document's own step.
-            order = np.argsort(keys)
-            distinct = keys[order]
-            first = np.flatnonzero(np.append(True, distinct[1:] != distinct[:-1]))
-            vectors[distinct[first]] -= rate * np.add.reduceat((np.repeat(back, size, axis=0) * share[:, None])[order], first, axis=0)
+            vectors[used] = own - rate * (x.T @ back)
     return QualityModel((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def score_slices(model: QualityModel, column: pa.Array) -> np.ndarray:
     """Probability of label 1 of every text of a column."""
     result = np.zeros(len(column))
-    for lo, hi, data, offsets in text_slices(column, 1 << 20):
+    for lo, hi, data, offsets in text_slices(column, _SLICE):
         bucket, row = _features(data, offsets)
         total = np.bincount(row, weights=model.logit[bucket], minlength=hi - lo)
         n = np.bincount(row, minlength=hi - lo)
