@@ -296,6 +296,26 @@ def test_repeats(docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.endswith(".data")}
+
+
+def test_repeats_leave_no_anchors_on_disk(spark, docs, monkeypatch):
+    """Anchors are neither staged nor left in shuffle files when the cut begins."""
+    monkeypatch.setattr(suffix, "_SLICE", 2000)
+    written, staged = [], suffix.staged
+    monkeypatch.setattr(suffix, "staged", lambda df: written.append(staged(df)) or written[-1])
+    before = shuffle_files(spark)
+    cut = suffix.remove_repeats(docs)
+    # Four tasks of anchors would be four files, twice.
+    assert len(shuffle_files(spark) - before) < 4
+    assert len(written) == 1 and written[0].where("kind = 0").count() == 0
+    out = by_id(cut)
+    for i, (n, removed, spans, kept) in brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()]).items():
+        assert (out[i]["n_bytes"], out[i]["n_removed"], out[i]["n_spans"], out[i]["kept"]) == (n, removed, spans, kept)
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 2000).astype(np.uint8)
