@@ -301,14 +301,16 @@ def shuffle_files(spark):
     return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.endswith(".data")}
 
 
-def test_repeats_leave_no_anchors_on_disk(spark, docs, monkeypatch):
-    """Anchors are neither staged nor left in shuffle files when the cut begins."""
+def test_repeats_in_more_buckets_leave_no_anchors_on_disk(spark, docs, monkeypatch):
+    """Buckets follow the text; anchors are neither staged nor left in shuffle files when the cut begins."""
+    assert 6 * 2**30 / suffix.buckets_for(6 * 2**30, 256) <= suffix.BUCKET_BYTES and suffix.buckets_for(0, 256) == 256
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 100)
     monkeypatch.setattr(suffix, "_SLICE", 2000)
     written, staged = [], suffix.staged
     monkeypatch.setattr(suffix, "staged", lambda df: written.append(staged(df)) or written[-1])
     before = shuffle_files(spark)
     cut = suffix.remove_repeats(docs)
-    # Four tasks of anchors would be four files, twice.
+    # What counted the text is one file or none; four tasks of anchors would be four, twice.
     assert len(shuffle_files(spark) - before) < 4
     assert len(written) == 1 and written[0].where("kind = 0").count() == 0
     out = by_id(cut)
