@@ -5,8 +5,8 @@ chooses one or two minwise hashes, ``1 / threshold`` on average, and every
 document in it branches by each to the node that its least shingle under that
 hash names (two sets of Jaccard similarity s go on together by a hash with
 probability s, so that a pair at the threshold is in one common branch of a
-node on average).  Nodes with many documents branch again, small ones are
-compared exhaustively.  The paths of all trees come from one minwise signature:
+node on average).  Nodes with many documents branch again, small ones and those
+that hold near copies of one text are compared exhaustively.  The paths of all trees come from one minwise signature:
 two bytes a hash.  What moves through a tree is a document's id, its hashes of
 that tree and one bit of each minwise hash, to compare by; never its text.
 Nodes propose groups of documents that may be linked; every link is then
@@ -32,6 +32,8 @@ FIRST = 2
 SMALL_NODE = 48
 #: Nodes of more documents branch again without being gathered anywhere.
 HOT_NODE = 4096
+#: Of a large node of near copies one row in so many may be something else.
+OTHERS = 8
 #: Documents of a proposed group that one task compares on full sets.
 BLOCK = 512
 LANDMARKS = 16
@@ -122,10 +124,15 @@ _STEP = "a long, b long, node long, id long, marks binary, path binary"
 
 
 def _node_step(least: int):
-    """Rows come node by node.  Small nodes: links between those of which at most ``least`` bits differ, compared pair by
-    pair, as one link for each that has any.  Larger ones pass through."""
+    """Rows come node by node, ``HOT_NODE`` of one at most.  Small nodes: links between those of which at most ``least``
+    bits differ, compared pair by pair, as one link for each that has any.  Larger ones whose rows are alike but for a few
+    likewise, in one pass: they end here.  All others pass through."""
     names = [c.split()[0] for c in _STEP.split(", ")]
 
+    def linked(root: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        n = len(root)
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(other), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+
     def links(node: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
         a_all, b_all = [], []
         for lag in range(1, SMALL_NODE):
@@ -136,32 +143,47 @@ def _node_step(least: int):
             a_all.append(near)
             b_all.append(near + lag)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
-        root, other = stars(ids, a, b)
-        n = len(root)
-        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(other), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+        return linked(*stars(ids, a, b))
+
+    def family(ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch | None:
+        """Links of a large node nearly all of whose rows are alike; None for any other."""
+        centre = np.packbits(2 * np.unpackbits(marks, axis=1).sum(0, dtype=np.int64) > len(ids))
+        alike = np.bitwise_count(marks ^ centre).sum(1, dtype=np.int64) <= least
+        others = np.flatnonzero(~alike)
+        if len(others) > max(SMALL_NODE, len(ids) // OTHERS):
+            return None
+        # The alike are proposed together; each of the others is compared with all rows.
+        inside = np.flatnonzero(alike)
+        near = [np.flatnonzero(np.bitwise_count(marks ^ marks[i]).sum(1, dtype=np.int64) <= least) for i in others]
+        a = np.concatenate([inside[:1].repeat(len(inside)), *(np.full(len(x), i) for i, x in zip(others, near, strict=True))])
+        return linked(*stars(ids, a, np.concatenate([inside, *near])))
 
     def passed(rows: pa.RecordBatch) -> pa.RecordBatch:
         n = rows.num_rows
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *rows.columns], names)
 
-    def step(rows: pa.RecordBatch, begun: bool) -> Iterator[pa.RecordBatch]:
-        """Whole nodes; ``begun``: the first one is known to be large."""
-        node = rows.column(0).to_numpy()
+    def step(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Whole nodes."""
+        node, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        marks = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         size = np.diff(np.append(first, len(node)))
-        large = size > SMALL_NODE
-        large[0] |= begun
-        of = np.repeat(large, size)
-        some = np.repeat(~large & (size > 1), size)
+        rest = size > SMALL_NODE
+        for i in np.flatnonzero(rest):
+            at = slice(first[i], first[i] + size[i])
+            found = family(ids[at], marks[at])
+            if found is not None:
+                rest[i] = False
+                yield found
+        of = np.repeat(rest, size)
         if of.any():
             yield passed(rows.filter(pa.array(of)))
+        some = np.repeat((size > 1) & (size <= SMALL_NODE), size)
         if some.any():
-            chosen = rows.filter(pa.array(some))
-            marks = np.frombuffer(b"".join(chosen.column(2).to_pylist()), np.uint8).reshape(chosen.num_rows, -1)
-            yield links(chosen.column(0).to_numpy(), chosen.column(1).to_numpy(), marks)
+            yield links(node[some], ids[some], marks[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, begun = None, False
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -170,14 +192,10 @@ def _node_step(least: int):
             node = batch.column(0).to_numpy()
             cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
             if cut:
-                yield from step(batch.slice(0, cut), begun)
-                begun = False
+                yield from step(batch.slice(0, cut))
             held = batch.slice(cut)
-            if held.num_rows > SMALL_NODE:  # known to be large: nothing of it has to wait, but for one row
-                yield passed(held.slice(1))
-                held, begun = held.slice(0, 1), True
         if held is not None and held.num_rows:
-            yield from step(held, begun)
+            yield from step(held)
         give_back()
 
     return run

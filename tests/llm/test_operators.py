@@ -378,6 +378,33 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in out.items()} == {i: c for i, (_, c) in expected.items()}
 
 
+def test_node_of_near_copies_ends(spark):
+    """A large node of near copies makes fewer rows than it has and none for further branching; what hangs on one of its rows is linked."""
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    rng = np.random.default_rng(4)
+
+    def changed(bits, n):
+        out = bits.copy()
+        out[rng.choice(180, n, replace=False)] ^= 1
+        return out
+
+    base = rng.integers(0, 2, 180).astype(np.uint8)
+    rows = [changed(base, 15) for _ in range(2000)]
+    rows.append(changed(rows[7], 36))  # near row 7
+    rows += [rng.integers(0, 2, 180).astype(np.uint8) for _ in range(20)]
+    mixed = [rng.integers(0, 2, 180).astype(np.uint8) for _ in range(100)]
+    node = np.repeat([5, 9], [len(rows), len(mixed)])
+    marks = [np.packbits(r).tobytes() for r in rows + mixed]
+    table = pa.table({"node": pa.array(node), "id": pa.array(np.arange(len(node))), "marks": pa.array(marks, pa.binary()), "path": pa.array([b"p"] * len(node), pa.binary())})
+    out = pa.Table.from_batches(chosenpath._node_step(38)(iter(table.to_batches(max_chunksize=300))))
+    passed = out.filter(pa.compute.is_valid(out["id"]))
+    assert passed["node"].to_pylist() == [9] * 100 and out.num_rows < 100 + len(rows)
+    linked = {x for c in "ab" for x in out[c].to_pylist() if x is not None}
+    assert linked >= set(range(2001)) and len(linked) == 2001
+
+
 def test_documents_that_hang_on_a_group(spark):
     """Documents just above the threshold to 100 close copies; drawn so that each of the first ten trees parts them from these."""
     base = [f"w{i}" for i in range(400)]
