@@ -37,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix64, partitions, run_hashes, staged, text_slices, word_bounds
+from .common import give_back, lowered, mix64, partitions, run_hashes, staged, text_slices, word_bounds
 
 DEPTH = 6
 #: Nodes up to this depth are on the driver and broadcast; deeper ones stay in the part that their last bytes are dealt to.
 SPLIT = 2
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of a stream whose transitions are sorted at once, and transitions that are held before they are added up.
 _AT_ONCE = 1 << 19
 _HELD = 1 << 19
@@ -384,7 +384,10 @@ def _groups_of(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Contexts that end in the same ``SPLIT`` bytes are in one part, from whatever batch."""
-    yield from _groups_of((mix64(keys >> np.uint64(8 * (DEPTH + 1 - SPLIT))) % np.uint64(parts)).astype(np.int64), parts)
+    of = np.empty(len(keys), np.int32)
+    for at in range(0, len(keys), _AT_ONCE):
+        of[at : at + _AT_ONCE] = mix64(keys[at : at + _AT_ONCE] >> np.uint64(8 * (DEPTH + 1 - SPLIT))) % np.uint64(parts)
+    yield from _groups_of(of, parts)
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
@@ -465,11 +468,12 @@ def _forward(parts: int):
                 stream = np.concatenate([stream_of(d, o) for _, _, d, o in text_slices(batch.column(1).slice(lo, hi - lo), _AT_ONCE)])
                 starts = doc_starts(stream)
                 own = train[lo:hi]
-                trained = np.repeat(own.astype(np.uint8), np.diff(np.append(starts, len(stream))))
+                stops = np.append(starts[1:], len(stream))
                 counter = Counter()
                 for at, keys in transition_slices(stream, starts):
                     # One sort: the training flag is the lowest bit of what is sorted.
-                    both = np.sort((keys << np.uint64(1)) | trained[at : at + len(keys)].astype(np.uint64))
+                    trained = own[np.searchsorted(stops, np.arange(at, at + len(keys)), side="right")]
+                    both = np.sort((keys << np.uint64(1)) | trained.astype(np.uint64))
                     distinct = both >> np.uint64(1)
                     first = np.flatnonzero(np.append(True, distinct[1:] != distinct[:-1]))
                     counter.add(distinct[first], np.add.reduceat((both & np.uint64(1)).astype(np.int32), first))
@@ -481,6 +485,8 @@ def _forward(parts: int):
                 n = np.bincount(index[own[doc]], minlength=len(words)).astype(np.uint32)
                 dealt = list(_dealt_words(words, parts))
                 yield _rows(1, number, [p for p, _ in dealt], [_pack(b"\n".join(words.take(pa.array(at)).to_pylist())) for _, at in dealt], [_pack(n[at]) for _, at in dealt])
+                del dealt, index, words, doc, keys, counts, counter, stream
+                give_back()
 
     return run
 
@@ -522,11 +528,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != part:
                 if part is not None:
                     yield close(part, counter)
+                    give_back()
                 part, counter = at, Counter()
             n = _unpack(counts, np.uint32).astype(np.int64)
             counter.add(_unpack_keys(keys)[n > 0], n[n > 0])
     if part is not None:
         yield close(part, counter)
+    counter = None
+    give_back()
 
 
 def _answer(top):
@@ -538,6 +547,8 @@ def _answer(top):
             for i in range(batch.num_rows):
                 part, kind, number, a, b = (batch.column(c)[i].as_py() for c in range(5))
                 if kind == 0:
+                    tree = None
+                    give_back()
                     tree = compile_part(_unpack_keys(a), _unpack(b, np.int64), top.value)
                 else:
                     logs = _pack_logs(transition_logs(tree, _unpack_keys(a)))
@@ -556,23 +567,30 @@ def _pack_logs(logs: np.ndarray) -> bytes:
     return _pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T[:3]))
 
 
-def _unpack_logs(blob: bytes) -> np.ndarray:
+def _unpack_steps(blob: bytes) -> np.ndarray:
+    """How many steps below 0 each logarithm is."""
     planes = _unpack(blob, np.uint8).reshape(3, -1)
     steps = np.zeros((planes.shape[1], 4), np.uint8)
     steps[:, :3] = planes.T
-    return steps.view("<u4").reshape(-1) * -_STEP
+    return steps.view("<u4").reshape(-1)
 
 
-def stream_scores(stream: np.ndarray, starts: np.ndarray, distinct: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """log10 chance of each text of a stream, from those of its distinct transitions."""
-    each = np.empty(len(stream))
+def stream_scores(stream: np.ndarray, starts: np.ndarray, distinct: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """log10 chance of each text of a stream, from the steps of its distinct transitions.
+
+    Steps are whole numbers: sums are exact, wherever slices cut a text.
+    """
+    total = np.zeros(len(starts), np.int64)
     for at, keys in transition_slices(stream, starts):
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.append(True, ordered[1:] != ordered[:-1])
-        found = logs[np.searchsorted(distinct, ordered[new])]
-        each[at : at + len(keys)][order] = found[np.cumsum(new) - 1]
-    return np.add.reduceat(each, starts) if len(starts) else np.zeros(0)
+        found = steps[np.searchsorted(distinct, ordered[new])]
+        each = np.empty(len(keys), np.int64)
+        each[order] = found[np.cumsum(new) - 1]
+        lo, hi = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(keys))
+        total[lo:hi] += np.add.reduceat(each, np.maximum(starts[lo:hi] - at, 0))
+    return total * -_STEP
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -610,13 +628,16 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                stream, distinct, train = _unpack(row["a"], np.uint8), _unpack_keys(row["c"]), np.frombuffer(row["b"], bool)
+                blobs = [batch.column(k)[i].as_py() for k in ("a", "b", "c")]
+                stream, train, distinct = _unpack(blobs[0], np.uint8), np.frombuffer(blobs[1], bool), _unpack_keys(blobs[2])
                 starts = doc_starts(stream)
-                answers = {(x["kind"], x["part"]): x["told"] for x in row["answers"]}
-                logs = np.zeros(len(distinct))
+                answers = {(x["kind"], x["part"]): x["told"] for x in batch.column("answers")[i].as_py()}
+                steps = np.zeros(len(distinct), np.uint32)
                 for p, at in _by_part(distinct, parts):
-                    logs[at] = _unpack_logs(answers[1, p])
+                    steps[at] = _unpack_steps(answers.pop((1, p)))
+                score = stream_scores(stream, starts, distinct, steps)
+                del blobs, distinct, steps
+                give_back()
                 index, words, doc = words_of(stream, starts)
                 counts = np.zeros(len(words), np.int64)
                 for p, at in _dealt_words(words, parts):
@@ -625,11 +646,12 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 base = np.bincount(doc, weights=np.log10(counts + 0.1)[index], minlength=n) + np.log10(ends + 0.1)
                 known = np.bincount(doc, weights=(counts > 0)[index], minlength=n).astype(np.int64) + (ends > 0)
                 tokens = np.bincount(doc, minlength=n) + 1
-                score = stream_scores(stream, starts, distinct, logs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(~train), pa.array(tokens), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(base - tokens * base_of), pa.array(score)],
+                    [batch.column("ids")[i].values, pa.array(~train), pa.array(tokens), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(base - tokens * base_of), pa.array(score)],
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del stream, starts, index, words, doc, counts, answers
+                give_back()
 
     counts_of = found.where("kind = 0").select("batch", "kind", "part", "told")
     answers = counts_of.unionByName(told).groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "told")).alias("answers"))

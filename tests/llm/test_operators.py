@@ -546,6 +546,28 @@ def test_outcomes_sum_to_one(texts):
     assert (10 ** ctw.transition_logs(tree, after) < 1).all()
 
 
+def test_scoring_holds_a_slice_and_adds_up_exactly(monkeypatch):
+    """Memory beside the stream is that of a slice; a text scores the same wherever slices cut it."""
+    import tracemalloc
+
+    monkeypatch.setattr(ctw, "_AT_ONCE", 1 << 16)
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 100, 100_000).astype(np.uint8)
+    text[-1] = ctw.END
+    stream = np.tile(text, 40)
+    starts = ctw.doc_starts(stream)
+    distinct = np.unique(np.concatenate([keys for _, keys in ctw.transition_slices(text, starts[:1])]))
+    steps = rng.integers(0, 1 << 24, len(distinct)).astype(np.uint32)
+    tracemalloc.start()
+    scores = ctw.stream_scores(stream, starts, distinct, steps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(starts) == 40 and len(set(scores)) == 1 and peak < 4 * len(stream)
+    each = next(keys for _, keys in ctw.transition_slices(text[-1000:], starts[:1]))
+    alone = ctw.stream_scores(text[-1000:], starts[:1], np.unique(each), np.arange(len(np.unique(each)), dtype=np.uint32))
+    assert alone[0] == pytest.approx(-ctw._STEP * np.searchsorted(np.unique(each), each).sum())
+
+
 def test_words_that_share_a_bucket(spark):
     """Many distinct words, few partitions: counts of all of them are exact."""
     words = [f"w{i}" for i in range(5000)]
