@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_slices
+from .common import batches_of, staged, text_slices
 
 SEQUENCE_TOKENS = 2048
 MAX_SEGMENTS = 128
@@ -36,6 +36,8 @@ BLOCK_TAILS = 4096
 #: Distinct units that a task keeps at most.
 _KEPT_UNITS = 400_000
 _SLICE = 2 << 20
+#: Bytes of text and keys that a task is handed at once, about two slices.
+_BATCH_BYTES = 2 * _SLICE
 #: The bytes with which a white-space character beyond ASCII begins, and its last two bytes.
 _WIDE_SPACE_FIRST = (0xC2, 0xE1, 0xE2, 0xE3)
 _WIDE_SPACE_END = ((0xC2, 0x80, 0x81, 0x9A), (0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF))
@@ -267,7 +269,8 @@ def pack(cut: DataFrame, length: int = SEQUENCE_TOKENS, max_segments: int = MAX_
     Sequence ids are unique, not dense.  An empty table gives no rows.
     """
     max_loss = max_loss or length
-    cut = staged(cut.withColumn("_loss", F.col(loss_col)))
+    with batches_of(cut.sparkSession, _BATCH_BYTES):
+        cut = staged(cut.withColumn("_loss", F.col(loss_col)))
     blocks = max(1, -(-cut.where(F.col("length") < length).count() // BLOCK_TAILS))
     names = [c for c in cut.columns if c != "_loss"]
     full = (F.col("length") == length) & (F.col("_loss") <= max_loss)

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,21 @@ def test_packing_limits():
         packing.dot_product_pack(np.array([[11, 1, 1]]), np.array([10, 2, 5]))
 
 
+def test_texts_reach_the_tokenizer_in_small_batches(spark):
+    """What a task of ``pack`` is handed at once follows a slice of text, not the split that it reads."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    docs = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("word "), 1000).alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes]), *(pa.array([x]) for x in (0, 1, 0))], ["id", "row_key", "start", "length", "loss"])
+
+    found = packing.pack(docs.mapInArrow(sizes, "id long, row_key long, start long, length long, loss long")).collect()
+    assert sum(r["id"] for r in found) == 3000 and sum(r["row_key"] for r in found) > 15_000_000
+    assert max(r["row_key"] for r in found) < 6_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
 def test_special_tokens_as_the_library():
     from tokenizers import Tokenizer
 
